@@ -12,8 +12,8 @@ less above it.
 Scale. Documents with equal sets form one class and only its smallest id goes on, so copies cost
 no pairs. In each bucket, the member with most company is compared with the others; buckets whose
 members are then still in different components get their remaining cross pairs compared. Texts are
-shipped to the comparison once per centre, for candidates only; each comparison streams a sorted
-partition and holds one centre.
+shipped to the comparison for candidates only, once per group of candidates that hang together, or per
+pair of its blocks where the group is large; no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BANDS, BAND_SLOTS = 32, 5
 SLOTS = BANDS * BAND_SLOTS
 #: Buckets of the id filter that is broadcast before texts are joined: its size is bounded by this, not by the data.
 ID_BUCKETS = 1 << 18
+#: Shingles in a block of candidates that are compared in one task.
+BLOCK_SHINGLES = 500_000
 _CACHE = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -141,48 +143,47 @@ def _signatures(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose full sets reach the similarity. Each b's text goes to a's task once; a large group is salted."""
+def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of pairs whose full sets reach the similarity; sizes: rep, n.
+
+    Candidates that hang together are compared in one place, so a text moves once however many
+    partners it has. A large group is cut into blocks of about BLOCK_SHINGLES by a hash of the id, and
+    its texts go to those pairs of blocks that have candidates: no task holds more than two blocks.
+    """
     near = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).alias("bucket")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    groups = connected_components(pairs, "a", "b")
+    blocks = groups.join(sizes, F.col("node") == F.col("rep")).groupBy("component").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).cast("int").alias("blocks"))
+    placed = cut(groups.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    ends = pairs.join(placed.select(F.col("node").alias("a"), "component", F.col("block").alias("x")), "a").join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    asked = cut(ends.select("component", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"))
+    cells = asked.select("component", "i", "j").distinct()
+    sides = cells.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     # At most ID_BUCKETS longs, whatever the data: rows that can't matter leave before the shuffle.
-    texts = docs.select("doc_id", "text", near).join(F.broadcast(ids.select(near).distinct()), "bucket", "left_semi").select("doc_id", "text")
-    salts = pairs.groupBy("a").agg((F.floor(F.count("*") / 2000) + 1).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("doc_id")).join(texts, "doc_id")
-    centres = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc_id")).join(texts, "doc_id")
-    rows = (
-        centres.select("a", "salt", F.lit(0).alias("member"), "doc_id", "text")
-        .unionByName(members.select("a", "salt", F.lit(1).alias("member"), "doc_id", "text"))
-        .repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-    )
+    wanted = placed.select(F.col("node").alias("doc_id")).select(near).distinct()
+    texts = docs.select("doc_id", "text", near).join(F.broadcast(wanted), "bucket", "left_semi").select("doc_id", "text")
+    where = placed.join(sides, ["component", "block"]).select(F.col("node").alias("doc_id"), "component", "i", "j")
+    rows = texts.join(where, "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        now: tuple | None = None
-        sets: list[np.ndarray] = []
-        for batch in batches:
-            left, right = [], []
-            for a, salt, member, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = shingle_set(text, width, words)
-                if (a, salt) != now:
-                    now, sets = (a, salt), []
-                if not member:
-                    sets.append(x)
-                    continue
-                for y in sets:
-                    small, large = (x, y) if len(x) < len(y) else (y, x)
-                    if 100 * len(small) < percent * len(large):
-                        continue
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    both = int((large[at] == small).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        left.append(a)
-                        right.append(b)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, sets = _Words(), {}
+        for doc_id, text in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
+            sets.setdefault(doc_id, []).append(shingle_set(text.as_py(), width, words))
+        found = [(a, b) for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True) if any(_similar(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ()))]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    cell = ("component", "i", "j")
+    rows = rows.select(*(F.col(c).alias(c) for c in rows.columns))  # new attributes: both sides come from the same checkpoint
+    return rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -209,7 +210,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         slots.join(centre, "key").select((-F.col("x.low")).alias("a"), F.col("x.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
         .filter("a <> b").filter(sized).select("a", "b").distinct()
     )
-    links = cut(_verified(first, docs, width, percent))
+    sizes = classes.select("rep", "n")
+    links = cut(_verified(first, sizes, docs, width, percent))
     grouped = connected_components(links, "a", "b")
     slots = slots.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
     split = slots.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
@@ -220,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         left.join(right, "key").filter("repa < repb and parta <> partb").filter(sized).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    links = links.unionByName(cut(_verified(second, docs, width, percent)))
+    links = links.unionByName(cut(_verified(second, sizes, docs, width, percent)))
     member = signed.join(classes.select("set_hash", "rep"), "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
     several = member.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id")
     joined = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
