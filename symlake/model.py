@@ -25,8 +25,12 @@ RAW_KINDS = {0: "unknown", 1: "module", 2: "namespace", 3: "namespaceAlias", 4:
 RAW_LANGUAGES = {0: "c", 1: "objc", 2: "cxx", 100: "swift"}
 
 
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "relations": T.ArrayType(T.StructType().add("usr", "string").add("roles", "long"))}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from name and type pairs; no session is needed."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in text.split(", "))])
 
 
 SCHEMAS = {
@@ -34,6 +38,6 @@ SCHEMAS = {
     "unit_deps": _struct("unit_name string, ord int, kind string, name string, path string, module_name string, is_system boolean"),
     "unit_includes": _struct("unit_name string, ord int, source_path string, line int, target_path string"),
     "record_symbols": _struct("record_name string, usr string, name string, kind string, sub_kind string, properties long, language string, codegen_name string, roles long, related_roles long"),
-    "occurrences": _struct("record_name string, ord int, line int, col int, usr string, roles long, relations array<struct<usr: string, roles: long>>"),
+    "occurrences": _struct("record_name string, ord int, line int, col int, usr string, roles long, relations relations"),
 }
 EVENTS = _struct("seq long, kind string, unit_name string, is_initial boolean, is_dependency boolean, ignore_mod_time boolean")
