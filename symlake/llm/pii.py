@@ -1,13 +1,13 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers. Their values are the
-protected entities. A term's disclosure of an entity is P(entity | term): of the documents that hold
-the term, the share in which it stands by the entity. It is held against the entity's own rarity,
-pointwise mutual information as a share of the entity's information content. A term that passes both
-thresholds, in several different contexts, tells a reader who knows the corpus which entity was
-removed. In the documents where it stands by the entity it is a span as well: generalised where some
-other term could stand there (numbers, capitalised names), else removed. Support is counted in
-different contexts, since the words around an entity in copies of one document reveal nothing new.
+protected entities, each of them, also one that a single document holds. A term's disclosure of an
+entity is P(entity | term): of the documents that hold the term, the share that holds the entity too.
+It is held against the entity's own rarity, pointwise mutual information as a share of the entity's
+information content. A term that passes both thresholds tells a reader who knows the corpus which
+entity was removed. It is a span in every document that holds it: generalised where some other term
+could stand there (numbers, capitalised names), else removed. So a word that no other document has
+is a span where it shares its document with an entity.
 
 All of it is DataFrame functions. Positions come from the gaps between matches: a pattern's split and
 its extraction together give every start in one pass over the gaps, without a collected window.
@@ -18,15 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlake.llm.common import cut, prepare
+from symlake.llm.common import broadcast_if_small, cut, prepare
 
 KINDS = ("email", "ip", "card", "phone")
-#: A term discloses an entity if it stands by it in this many contexts at least, P(entity | term) reaches the one share and the information the other.
-SUPPORT, DISCLOSURE, INFORMATION = 3, 0.8, 0.8
-#: A term stands by an entity within so many characters.
-CONTEXT = 80
-#: Buckets of the key filters that are broadcast: their size is bounded by this, not by the data.
-KEY_BUCKETS = 1 << 18
+#: A term discloses an entity if P(entity | term) reaches the one share and the information the other.
+DISCLOSURE, INFORMATION = 0.8, 0.8
+#: So many of the terms that are too common to disclose anything are broadcast, to keep them out of the shuffles.
+COMMON = 50_000
 
 # The same matches as the plain forms, without their backtracking: quantifiers are possessive where what
 # follows can't be inside, and a match starts at the head of its run or where the last match ended.
@@ -38,7 +36,8 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 _HINTS = {"email": "@", "ip": ".", "phone": "+"}
-TERM = r"[\p{L}\p{N}]{4,}"
+#: A run of letters and digits, but for one or two small Latin letters.
+TERM = r"(?<![\p{L}\p{N}])(?![a-z]{1,2}(?![\p{L}\p{N}]))[\p{L}\p{N}]++"
 
 
 def _good(kind: str, m: Column) -> Column:
@@ -79,21 +78,17 @@ def _spans(text: Column, kind: str) -> Column:
     return F.coalesce(found, F.array().cast(_SPANS))
 
 
-def _bucket(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(KEY_BUCKETS)).alias("bucket")
-
-
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with a mark in place of each span; overlapping spans share one. Terms: numbers and names are generalised, others removed."""
+def redact(text: Column, spans: Column, blank: bool = False) -> Column:
+    """The text with a mark (or a blank) in place of each span; overlapping spans share one. Terms: numbers and names are generalised, others removed."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
         kind = s["kind"]
-        mark = (
+        mark = F.lit(" ") if blank else (
             F.when(kind != "term", F.concat(F.lit("["), F.upper(kind), F.lit("]")))
             .when(s["value"].rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).when(s["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit(""))
         )
@@ -115,43 +110,45 @@ def find(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.drop("spans", "redacted")
     columns = docs.columns
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = inner.withColumn("base", F.concat(*(_spans(F.col("text"), k) for k in KINDS)))
-    # Documents with personal data; the rest need no more than the patterns.
-    held = cut(found.filter(F.size("base") > 0)).withColumn("row", F.monotonically_increasing_id())
-    each = held.select("row", "text", F.explode("base").alias("s")).withColumn("entity", F.concat(F.col("s.kind"), F.lit(":"), F.lower("s.value")))
-    entities = each.groupBy("entity").agg(F.countDistinct("row").alias("de")).filter(F.col("de") >= SUPPORT)
-    around = F.concat(
-        F.substring(F.col("text"), F.greatest(F.col("s.start") + 1 - CONTEXT, F.lit(1)), F.least(F.col("s.start"), F.lit(CONTEXT))), F.lit(" | "),
-        F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT)),
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"))
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    # Row numbers are fixed by the checkpoint.
+    found = cut(inner.withColumn("base", F.concat(*(_spans(text, k) for k in KINDS))).withColumn("row", F.monotonically_increasing_id()))
+    of_row = cut(
+        found.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity"))
     )
-    hidden = "|".join(f"(?:{p})" for p in PATTERNS.values())
-    each = each.join(entities, "entity").select("row", "entity", "de", F.regexp_replace(around, hidden, " ").alias("context"))
-    pairs = each.select("row", "entity", "de", F.xxhash64(F.lower("context")).alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
-    told = cut(
-        pairs.groupBy("entity", "de", "term").agg(F.countDistinct("row").alias("dj"), F.countDistinct("context").alias("contexts"))
-        .filter(F.col("contexts") >= SUPPORT)
-    )
-    n = docs.count()
-    # Counted in each task before the shuffle, over all documents: what moves is bounded by the distinct terms.
-    wanted = F.broadcast(told.select(_bucket("term")).distinct())
-    spread = (
-        inner.select(F.explode(_terms(F.col("text"))).alias("term")).select("term", _bucket("term")).join(wanted, "bucket", "left_semi")
-        .groupBy("term").agg(F.count("*").alias("dt"))
+    entities = of_row.groupBy("entity").agg(F.count("*").alias("de"))
+    n, most = found.count(), entities.agg(F.max("de")).first()[0]
+    if most is None:
+        return found.select(*(F.col("doc")[c].alias(c) for c in columns), F.col("base").alias("spans"), text.alias("redacted"))
+    holds = found.select("row", (F.size("base") > 0).alias("held"), F.explode(_terms(redact(text, F.col("base"), blank=True))).alias("term"))
+    # Counted in each task before the shuffle: what moves is bounded by the distinct terms.
+    spread = cut(holds.groupBy("term").agg(F.count("*").alias("dt")))
+    # dj <= de, so a term in more documents than de / DISCLOSURE discloses no entity that is in de.
+    common = spread.filter(F.col("dt") * DISCLOSURE > most).orderBy(F.desc("dt"), "term").limit(COMMON).select("term")
+    rest = holds.join(F.broadcast(cut(common)), "term", "left_anti")
+    able = spread.filter(F.col("dt") * DISCLOSURE <= most)
+    candidates = cut(rest.filter("held").select("row", "term").join(able, "term"))
+    shared = (
+        candidates.join(of_row.join(entities, "entity"), "row").filter(F.col("dt") * DISCLOSURE <= F.col("de"))
+        .groupBy("entity", "de", "term", "dt").agg(F.count("*").alias("dj"))
     )
     rarity = F.log2(n / F.col("de"))
     share = F.col("dj") / F.col("dt")
     telling = cut(
-        told.join(spread, "term").filter((share >= DISCLOSURE) & (rarity > 0) & (F.log2(share * n / F.col("de")) >= INFORMATION * rarity)).select("entity", "term")
+        shared.filter((share >= DISCLOSURE) & (rarity > 0) & (F.log2(share * n / F.col("de")) >= INFORMATION * rarity))
+        .groupBy("term").agg(F.max(F.col("dt") - F.col("dj")).alias("beyond"))
+    )
+    # In documents without an entity, only terms that some such document holds are looked for.
+    beyond = broadcast_if_small(cut(telling.filter("beyond > 0").select("term")))
+    marked = (
+        candidates.select("row", "term").join(telling, "term", "left_semi").unionByName(rest.filter("not held").select("row", "term").join(beyond, "term", "left_semi"))
+        .groupBy("row").agg(F.collect_list("term").alias("terms"))
     )
-    # A document's own entities decide which terms are spans in it.
-    marked = pairs.join(telling, ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    held = held.join(marked, "row", "left")
-    hits = F.coalesce(F.when(F.size("terms") > 0, _walk(F.col("text"), TERM, "term", lambda m: F.array_contains(F.col("terms"), F.lower(m)))), F.array().cast(_SPANS))
+    hits = F.coalesce(F.when(F.size("terms") > 0, _walk(text, TERM, "term", lambda m: F.array_contains(F.col("terms"), F.lower(m)))), F.array().cast(_SPANS))
     apart = F.filter(hits, lambda t: ~F.exists(F.col("base"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    whole = held.withColumn("spans", F.concat("base", apart)).withColumn("redacted", redact(F.col("text"), F.col("spans")))
-    plain = found.filter(F.size("base") == 0).select("doc", F.col("base").alias("spans"), F.col("text").alias("redacted"))
-    return plain.unionByName(whole.select("doc", "spans", "redacted")).select(*(F.col("doc")[c].alias(c) for c in columns), "spans", "redacted")
+    whole = found.join(marked, "row", "left").withColumn("spans", F.concat("base", apart)).withColumn("redacted", redact(text, F.col("spans")))
+    return whole.select(*(F.col("doc")[c].alias(c) for c in columns), "spans", "redacted")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -85,6 +85,17 @@ def test_pii_terms_that_reveal(spark):
     assert all(not r["spans"] and r["redacted"] == r["text"] for r in found[5:])
 
 
+def test_pii_terms_reveal_rare_entities(spark):
+    far = "and so on with nothing new " * 20
+    rows = [(0, f"Quibbleford wrote. {far} Mail ann@one.example"), (1, f"Zanzibarius rang. {far} Mail bob@two.example"), (2, f"Zanzibarius wrote. {far} Mail bob@two.example")]
+    rows += [(3 + i, f"Vexillor {far} Mail eve@six.example") for i in range(9)] + [(12, f"Vexillor {far}")] + [(20 + i, f"They wrote and rang. Mail {far}") for i in range(80)]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {i: [s["value"] for s in r["spans"] if s["kind"] == "term"] for i, r in got.items()}
+    # An entity in one document and in two, terms far from it; the last document holds a telling term and no entity.
+    assert terms[0] == ["Quibbleford"] and terms[1] == terms[2] == ["Zanzibarius"] and terms[3] == terms[12] == ["Vexillor"]
+    assert got[12]["redacted"] == f"[NAME] {far}" and all(not terms[20 + i] for i in range(80)) and len(got) == len(rows)
+
+
 def test_packing(docs, rows):
     library = packing.WordTokenizer(packing.default_vocabulary()).library
     want = Counter()
