@@ -9,6 +9,7 @@ Repetition never removes text inside an article: a copied article is still that
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -22,9 +23,10 @@ from symlake.llm.common import cut, prepare
 
 #: A repeated substring has this many tokens at least and is on this many pages at least.
 REPEAT_TOKENS, REPEAT_PAGES = 8, 3
-#: Characters of open text that one suffix array is built over; larger hosts are split by a hash of the page.
+#: Characters of open text that one suffix array is built over. In larger hosts, the pages of every substring are counted by its hash over the whole host.
 GROUP_CHARS = 4_000_000
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(?=/)[^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -147,6 +149,33 @@ def repeated_tokens(pages: list[list[str]], least: int = REPEAT_TOKENS, several:
     return np.split(covered, np.cumsum(sizes)[:-1]) if len(pages) else []
 
 
+def window_hashes(tokens: list[str], least: int = REPEAT_TOKENS) -> np.ndarray:
+    """A 64-bit hash of the `least` tokens at each place that has so many to the end of the page."""
+    n = len(tokens) - least + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    seen: dict[str, int] = {}
+    for t in tokens:
+        if t not in seen:
+            seen[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    own = np.fromiter((seen[t] for t in tokens), np.uint64, len(tokens))
+    h = np.zeros(n, np.uint64)
+    for k in range(least):
+        h = h * _BASE + own[k : k + n]
+    return h.view(np.int64)
+
+
+def _without(blocks: list[str], covered: list[bool]) -> list[str]:
+    out, at = [], 0
+    for b in blocks:
+        tokens = b.split(" ")
+        rest = [t for t, gone in zip(tokens, covered[at : at + len(tokens)], strict=True) if not gone]
+        at += len(tokens)
+        if rest:
+            out.append(" ".join(rest))
+    return out
+
+
 def extract(pages: DataFrame) -> DataFrame:
     r"""page_id, url, text, n_chars of every row of pages: its main text, blocks joined by two \n, empty if there is none.
 
@@ -165,26 +194,42 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "host", "blocks", "open", "open_chars"],
             )
 
-    parsed = cut(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(parse, kinds))
+    parsed = cut(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(parse, kinds).withColumn("row", F.monotonically_increasing_id()))
     undecided = parsed.filter("open")
-    hosts = undecided.groupBy("host").agg((F.floor(F.sum("open_chars") / GROUP_CHARS) + 1).cast("int").alias("parts"))
-    grouped = undecided.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.size("blocks"), "open_chars"), F.col("parts")))
+    hosts = undecided.groupBy("host").agg((F.sum("open_chars") >= GROUP_CHARS).alias("large"))
+    grouped = undecided.join(hosts, "host")
 
     def unique_runs(table: pa.Table) -> pa.Table:
         blocks = table.column("blocks").to_pylist()
-        tokens = [[b.split(" ") for b in page] for page in blocks]
-        covered = repeated_tokens([[t for b in page for t in b] for page in tokens])
-        kept = []
-        for page, marks in zip(tokens, covered, strict=True):
-            out, at = [], 0
-            for b in page:
-                rest = [t for t, gone in zip(b, marks[at : at + len(b)].tolist(), strict=True) if not gone]
-                at += len(b)
-                if rest:
-                    out.append(" ".join(rest))
-            kept.append(out)
+        covered = repeated_tokens([[t for b in page for t in b.split(" ")] for page in blocks])
+        kept = [_without(page, marks.tolist()) for page, marks in zip(blocks, covered, strict=True)]
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "blocks": pa.array(kept, pa.list_(pa.string()))})
 
-    decided = grouped.groupBy("host", "part").applyInArrow(unique_runs, "page_id long, url string, blocks array<string>")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = np.unique(window_hashes([t for b in batch.column(2)[k].as_py() for t in b.split(" ")]))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), pa.int64()), pa.array([batch.column(1)[k].as_py()] * len(own), pa.string()), pa.array(own, pa.int64())], names=["row", "host", "h"])
+
+    def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for blocks, repeats in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                hashes = window_hashes([t for b in blocks for t in b.split(" ")])
+                marks = np.zeros(sum(b.count(" ") + 1 for b in blocks) + 1, np.int64)
+                starts = np.flatnonzero(np.isin(hashes, np.array(repeats or [], np.int64)))
+                marks[starts] += 1
+                np.add.at(marks, starts + REPEAT_TOKENS, -1)
+                kept.append(_without(blocks, (np.cumsum(marks)[:-1] > 0).tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.string()))], names=["page_id", "url", "blocks"])
+
+    found = "page_id long, url string, blocks array<string>"
+    small = grouped.filter("not large").groupBy("host").applyInArrow(unique_runs, found)
+    large = grouped.filter("large")
+    # A page has each of its hashes once, so rows are pages; they are counted in each task before the shuffle.
+    held = large.select("row", "host", "blocks").mapInArrow(windows, "row long, host string, h long")
+    repeated = held.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= REPEAT_PAGES).select("host", "h")
+    of_row = held.join(repeated, ["host", "h"], "left_semi").groupBy("row").agg(F.collect_list("h").alias("repeats"))
+    rest = large.join(of_row, "row", "left").select("page_id", "url", "blocks", "repeats").mapInArrow(uncovered, found)
     text = F.concat_ws("\n\n", "blocks")
-    return parsed.filter("not open").select("page_id", "url", "blocks").unionByName(decided).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    return parsed.filter("not open").select("page_id", "url", "blocks").unionByName(small).unionByName(rest).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

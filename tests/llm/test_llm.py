@@ -255,6 +255,16 @@ def test_html(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[12]["text"] == "story2 that page 2 alone tells"
 
 
+def test_html_repeats_are_counted_over_a_whole_host(spark, monkeypatch):
+    bar = "Home About us Contact and all the other long links here"
+    rows = [(i, f"http://h.example/{i}", f"<div>{bar if i < 4 else f'other{i}'}</div><div>{' '.join(f'w{i}x{k}' for k in range(40))}</div>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    monkeypatch.setattr(html, "GROUP_CHARS", 300)
+    assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == whole
+    assert all("Home" not in t for t in whole.values()) and all(f"w{i}x39" in t for i, t in whole.items())
+
+
 def test_repeats_are_those_of_brute_force():
     rng = np.random.default_rng(4)
     pages = [[str(x) for x in rng.integers(0, 3, rng.integers(0, 40))] for _ in range(12)]
