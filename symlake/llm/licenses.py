@@ -1,6 +1,8 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text. A template's tokens are ordered by how many blocks of the corpus hold
+Blocks are the lines of a text, and the windows of consecutive words in its paragraphs (runs of lines
+with words, so comment marks and wrapping don't count); a window has 1 / t times a template's words.
+A paragraph that doesn't hold enough has no window that does. A template's tokens are ordered by how many blocks of the corpus hold
 them, rarest first. A block holds enough of a template of n tokens at containment t only if it holds
 k = ceil(t n) of them, so
   prefix filter:     it holds one of the n - k + 1 rarest (any k tokens reach into that prefix),
@@ -105,25 +107,31 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
             need = math.ceil(containment * len(tokens) - 1e-9)
             prefix = tokens[: len(tokens) - need + 1]
             prefixes.update(prefix)
-            tests.append((label, tokens, need, prefix))
+            tests.append((label, tokens, need, prefix, math.ceil(len(notice.replace(".", " ").split()) / containment - 1e-9)))
 
-    def met(block: Column) -> Column:
+    def met(block: Column, windows: bool = False) -> Column:
         words = F.array_distinct(F.split(block, " "))
         found = []
-        for label, tokens, need, prefix in tests:
+        for label, tokens, need, prefix, width in tests:
             ordered, size = F.array(*map(F.lit, tokens)), len(tokens)
             first = F.array(*map(F.lit, prefix))
             shared = F.array_intersect(ordered, words)
             place = F.array_position(ordered, F.get(F.array_intersect(first, words), F.lit(0)))
             passes = F.arrays_overlap(first, words) & (F.size(words) >= need) & (size - place + 1 >= need)
-            share = F.size(shared) / size
-            found.append(F.when(passes & (F.size(shared) >= need), F.struct(F.lit(label).alias("label"), share.alias("share"))))
+            most = F.size(shared)
+            if windows:
+                run = F.split(block, " ")
+                at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(run) - width + 1))
+                most = F.when(passes & (most >= need), F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(ordered, F.slice(run, i, width))))))
+            found.append(F.when(passes & (most >= need), F.struct(F.lit(label).alias("label"), (most / size).alias("share"))))
         return F.array_compact(F.array(*found))
 
     # A text whose words hold no template's prefix has no block that could; the others' lines are looked at.
     sought = r"\b(?:" + "|".join(sorted(prefixes)) + r")\b"
-    lines = F.filter(F.transform(F.split("text", "\n"), normalised), lambda b: b.rlike(sought))
-    hits = F.when(F.col("line").rlike(sought), F.flatten(F.transform(lines, met)))
+    every = F.transform(F.split("text", "\n"), normalised)
+    wrapped = F.transform(F.split(F.array_join(F.transform(every, lambda b: F.when(b == "", F.lit("\n")).otherwise(b)), " "), "\n"), F.trim)
+    lines, paragraphs = (F.filter(x, lambda b: b.rlike(sought)) for x in (every, F.array_except(wrapped, every)))
+    hits = F.when(F.col("line").rlike(sought), F.flatten(F.concat(F.transform(lines, lambda b: met(b)), F.transform(paragraphs, lambda b: met(b, True)))))
     nothing = F.array().cast("array<struct<label: string, share: double>>")
     placed = base_places(rows.withColumn("line", normalised(F.col("text")))).withColumn("hits", F.coalesce(hits, nothing))
     labels = F.array_sort(F.array_union("base", F.transform("hits", lambda h: h["label"])))

@@ -220,6 +220,16 @@ def test_licenses(docs, rows):
         assert r["labels"] == ",".join(sorted(labels | own)) and 0 <= r["score"] <= 1
 
 
+def test_licenses_in_wrapped_notices(spark):
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including\n */"
+    gpl = "# This program is free software: you can redistribute it and/or modify\r\n# it under the terms of the GNU General Public License as published by\r\n# the Free Software Foundation"
+    words = licenses.TEMPLATES["bsd"][0].split()
+    rows = [(1, mit), (2, gpl), (3, "a b c\n" * 30 + mit + "\nx y z" * 30), (4, "\n".join(f"{w} {'filler ' * 12}" for w in words)), (5, "\n\n".join(words)), (6, "plain\ntext")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Words far apart, or in paragraphs of their own, are no notice.
+    assert [got[i]["labels"] for i in range(1, 7)] == ["mit", "gpl", "mit", "", "", ""] and got[1]["score"] == got[3]["score"] == 1
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (1 + i % 7), "hot" if i < 600 else f"s{i % 5}" if i % 11 else None) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
