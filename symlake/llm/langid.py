@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 
 from symlake.llm.common import prepare
 
-#: The learning sample: about so many documents of each language, and this many languages (the most frequent).
-SAMPLE_DOCS, LANGUAGES = 500, 64
+#: The learning sample: about so many documents of each language.
+SAMPLE_DOCS = 500
+#: So many languages are scored at once; and below this, sums are scaled up.
+COLUMNS, TINY = 8, 1e-100
 WORD_CHARS, EM_ROUNDS, SHARED = 64, 4, 0.02
 _CACHE = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -122,37 +124,57 @@ class Lattice:
             w[piece < 0] = _UNKNOWN * _SCALE
         return w
 
-    def forward(self, points: np.ndarray, p: np.ndarray, edges: list | None = None) -> np.ndarray:
-        """alpha[position, word, language], scaled by _SCALE per letter so that it stays in range."""
-        alpha = np.zeros((points.shape[1] + 1, len(points), p.shape[1]))
+    def forward(self, points: np.ndarray, p: np.ndarray, edges: list | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """alpha[position, word, language], scaled by _SCALE per letter, and the logarithms of what it was divided by besides so that it stays in range (None: nothing)."""
+        alpha, logs, last = np.zeros((points.shape[1] + 1, len(points), p.shape[1])), None, 0
         alpha[0] = 1
         for i, j, rows, piece in edges or self.edges(points):
+            if i > last:
+                last = i
+                if (low := alpha[i] < TINY).any():
+                    by = np.where(low, alpha[i], 1)
+                    alpha[i:] /= by
+                    logs = np.zeros_like(alpha) if logs is None else logs
+                    logs[i:] += np.log(by)
             alpha[j, rows] += alpha[i, rows] * self.weights(p, i, j, piece)
-        return alpha
+        return alpha, logs
 
     def log_probabilities(self, words: list[str], p: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), p.shape[1]))
         for at, points in self.groups(words):
-            out[at] = np.log(self.forward(points, p)[-1]) - points.shape[1] * np.log(_SCALE)
+            edges = self.edges(points)
+            for c in range(0, p.shape[1], COLUMNS):
+                alpha, logs = self.forward(points, p[:, c : c + COLUMNS], edges)
+                out[at, c : c + COLUMNS] = np.log(alpha[-1]) + (0 if logs is None else logs[-1]) - points.shape[1] * np.log(_SCALE)
         return out
 
-    def fit(self, words: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
-        """Piece probabilities [piece, language] from word counts [word, language]."""
-        languages = counts.shape[1]
+    def fit(self, words: list[str], seen: tuple[np.ndarray, np.ndarray, np.ndarray], languages: int, rounds: int = EM_ROUNDS) -> np.ndarray:
+        """Piece probabilities [piece, language] from the counts seen: (word, language, n)."""
+        word, lang, n = seen
         p = np.repeat((1 / self.size / np.maximum(self.chars, 1))[:, None], languages, axis=1)
         p /= p.sum(axis=0)
         for _ in range(rounds):
             expected = np.zeros((self.size, languages))
             for at, points in self.groups(words):
                 edges = self.edges(points)
-                alpha = self.forward(points, p, edges)
-                beta = np.zeros_like(alpha)
-                beta[-1] = counts[at] / np.maximum(alpha[-1], 1e-300)
-                for i, j, rows, piece in reversed(edges):
-                    flow = self.weights(p, i, j, piece) * beta[j, rows]
-                    beta[i, rows] += flow
-                    known = piece >= 0
-                    np.add.at(expected, piece[known], (alpha[i, rows] * flow)[known])
+                place = np.full(len(words), -1)
+                place[at] = np.arange(len(at))
+                own = place[word] >= 0
+                for c in range(0, languages, COLUMNS):
+                    some = own & (lang >= c) & (lang < c + COLUMNS)
+                    counts = np.zeros((len(at), min(COLUMNS, languages - c)))
+                    np.add.at(counts, (place[word[some]], lang[some] - c), n[some])
+                    part = p[:, c : c + COLUMNS]
+                    alpha, logs = self.forward(points, part, edges)
+                    beta = np.zeros_like(alpha)
+                    beta[-1] = counts / np.maximum(alpha[-1], 1e-300)
+                    for i, j, rows, piece in reversed(edges):
+                        flow = self.weights(part, i, j, piece) * beta[j, rows]
+                        if logs is not None:
+                            flow *= np.exp(logs[i, rows] - logs[j, rows])
+                        beta[i, rows] += flow
+                        known = piece >= 0
+                        np.add.at(expected[:, c : c + COLUMNS], piece[known], (alpha[i, rows] * flow)[known])
             own = expected / np.maximum(expected.sum(axis=0), 1e-300)
             everyone = own.mean(axis=1, keepdims=True)
             p = (1 - SHARED) * own + SHARED * (0.9 * everyone + 0.1 / self.size)
@@ -160,7 +182,6 @@ class Lattice:
 
 
 
-
 def _split(words: list[str]) -> list[str]:
     """Runs over WORD_CHARS letters count as several words."""
     if max(map(len, words), default=0) <= WORD_CHARS:
@@ -181,7 +202,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
     vocabulary = vocabulary or default_vocabulary()
     spark = docs.sparkSession
     labelled = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     sizes = sorted((r["lang"], r["n"]) for r in sizes)
     if not sizes:
         return [], np.zeros((1, 0)), np.zeros(0)
@@ -203,11 +224,9 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
     at = {lang: i for i, lang in enumerate(languages)}
     index: dict[str, int] = {}
     found = [(index.setdefault(w, len(index)), at[lang], n) for lang, w, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)]
-    counts = np.zeros((len(index), len(languages)))
-    for w, lang, n in found:
-        counts[w, lang] += n
+    seen = tuple(np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
     total = np.array([n for _, n in sizes], float)
-    return languages, Lattice(vocabulary).fit(list(index), counts), np.log(total / total.sum())
+    return languages, Lattice(vocabulary).fit(list(index), seen, len(languages)), np.log(total / total.sum())
 
 
 class _Scores(dict):

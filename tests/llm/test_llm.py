@@ -138,6 +138,26 @@ def test_language_id(docs, spark):
     assert langid.identify(docs, langid.learn(none)).filter("lang_pred <> 'und'").count() == 0 and langid.identify(none, model).count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [["".join(rng.choice(list(letters), 6)) for _ in range(4)] for _ in range(70)]
+    rows = [(100 * k + i, " ".join(w), f"l{k:02}") for k, w in enumerate(words) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model[0]) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.97 * len(rows)
+
+
+def test_no_word_zeroes_all_languages():
+    lattice = langid.Lattice(langid.default_vocabulary())
+    p = np.random.default_rng(0).random((lattice.size, 2))
+    p /= p.sum(axis=0)
+    one, many = lattice.log_probabilities(["\u1200", "\u1200" * 64], p)
+    assert np.isfinite(many).all() and np.allclose(many - one, 63 * np.log(langid._UNKNOWN))
+
+
 def test_forward_sums_all_segmentations():
     lattice = langid.Lattice(langid.default_vocabulary())
     p = np.random.default_rng(0).random((lattice.size, 2))
