@@ -16,10 +16,10 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what has a language; it becomes lang. Rejected are texts that are null or have no letter, and rows without doc_id."""
+    """Keeps what has a language; it becomes lang. Rejected are texts that are null or have no letter."""
     model = langid.learn(docs)
     rows = langid.identify_rows(_documents(docs), model)
-    return _documents(rows.filter((F.col("lang_pred") != "und") & F.col("doc_id").isNotNull()).withColumn("lang", F.col("lang_pred")))
+    return _documents(rows.filter(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -350,5 +350,15 @@ def test_pipeline(spark):
     assert {r[0] for r in packed.select("doc_id").collect()} == ids
 
 
+def test_pipeline_keeps_documents_without_an_id(spark):
+    import corpus_pipeline
+
+    one = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    rows = one.unionByName(one.limit(40).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("entirely other words here "), "text"))).checkpoint()
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.language_id(spark, rows, SF), SF)
+    want = {r[0] for r in rows.filter("doc_id is null").select("text").collect()}
+    assert {r[0] for r in kept.filter("doc_id is null").select("text").collect()} == want and len(want) > 30
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
