@@ -130,6 +130,7 @@ _q("f11_latest_unit_time", lambda ix: files.latest_unit_time(ix), _HOLD + " sele
 _q("f12_unit_time_by_output", lambda ix: files.unit_time_by_output(ix, [*_OUTS, "/build/none.o"]), "select o as out_file, mod_time_ns from (values ('/build/o2.o'), ('/build/o5.o'), ('/build/o9.o'), ('/build/o12.o'), ('/build/none.o')) t(o) left join m_units on out_file = o")
 _q("f13_directories", lambda ix: files.directories(ix), "select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from m_deps where kind <> 'unit'")
 _q("r1_root_units", lambda ix: ix.roots(ix.units.filter(F.col("mod_time_ns") % 11 == 0).select("unit_name")), "seedu as (select unit_name from m_units where mod_time_ns % 11 = 0), " + _UP.format("seedu") + " select distinct unit_name, root from roots")
+_q("r1_root_units_all", lambda ix: ix.roots(ix.units.select("unit_name")), None)
 _q("r2_dependency_closure", lambda ix: ix.dependency_closure(ix.units.filter(F.col("unit_name").isin("unit-77", "unit-450"))), _DOWN + " select seed as unit_name, node as dependency from down")
 _CLOSE = " select seed, node as usr from c where seed <> node"
 _q("r3_base_hierarchy", lambda ix: symbols.base_hierarchy(ix, ["s:p88", "s:p45", "s:p46"]),

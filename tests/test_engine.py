@@ -9,6 +9,7 @@ from symlake.functions import exprs
 from symlake.model import ALL_ROLES, CALLED_BY, CANONICAL, DEF, REF, SCHEMAS
 from symlake.operators import dump, files, symbols
 from symlake.plans.index import CodeIndex, closure
+from symlake.sources.projection import load
 from symlake.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +89,26 @@ def test_closure_ends_on_cycles(spark):
     assert sorted(map(tuple, closure(seeds, edges).collect())) == [(1, 1), (1, 2), (1, 3), (9, 9)]
 
 
+def test_root_units_of_all_units(spark):
+    ix = load(spark, SF)
+    main = {r["unit_name"]: r["has_main_file"] for r in ix.units.collect()}
+    up = {}
+    for r in ix.unit_deps.filter("kind = 'unit'").collect():
+        up.setdefault(r["name"], set()).add(r["unit_name"])
+    want = set()
+    for u in main:
+        todo, seen = [u], {u}
+        while todo:
+            x = todo.pop()
+            if main.get(x):
+                want.add((u, x))
+                continue
+            new = up.get(x, set()) - seen
+            seen |= new
+            todo += new
+    assert {tuple(r) for r in catalog.queries()["r1_root_units_all"](spark, SF).select("unit_name", "root").collect()} == want and {u for u, _ in want} > {u for u in main if main[u]}
+
+
 def test_import_and_stream(spark, tmp_path):
     ix, store = project(spark), ingest.Store(spark, str(tmp_path / "db"))
     none = store.current().units.select("unit_name", "mod_time_ns")
