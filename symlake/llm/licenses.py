@@ -13,6 +13,7 @@ What passes is counted in full. The templates are few and constant; only they ar
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -129,9 +130,20 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     # A text whose words hold no template's prefix has no block that could; the others' lines are looked at.
     sought = r"\b(?:" + "|".join(sorted(prefixes)) + r")\b"
     every = F.transform(F.split("text", "\n"), normalised)
-    wrapped = F.transform(F.split(F.array_join(F.transform(every, lambda b: F.when(b == "", F.lit("\n")).otherwise(b)), " "), "\n"), F.trim)
-    lines, paragraphs = (F.filter(x, lambda b: b.rlike(sought)) for x in (every, F.array_except(wrapped, every)))
-    hits = F.when(F.col("line").rlike(sought), F.flatten(F.concat(F.transform(lines, lambda b: met(b)), F.transform(paragraphs, lambda b: met(b, True)))))
+    known = F.array(*map(F.lit, sorted({t for _, tokens, *_ in tests for t in tokens})))
+
+    def enough(held: Column) -> Column:
+        checks = [F.size(F.array_intersect(F.array(*map(F.lit, tokens)), held)) >= need for _, tokens, need, _, _ in tests]
+        return (F.size(held) >= min(need for _, _, need, _, _ in tests)) & functools.reduce(lambda x, y: x | y, checks)
+
+    def found(lines: Column) -> Column:
+        """What the lines of a text, and the paragraphs of several lines, meet. Arrays of one bind a value that is used often."""
+        joined = F.split(F.array_join(F.transform(lines, lambda b: F.when(b == "", F.lit("\n")).otherwise(b)), " "), "\n")
+        paragraphs = F.filter(F.array_except(F.transform(joined, F.trim), lines), lambda b: b.rlike(sought))
+        wrapped = F.filter(paragraphs, lambda b: F.exists(F.array(F.array_intersect(known, F.split(b, " "))), enough))
+        return F.flatten(F.concat(F.transform(F.filter(lines, lambda b: b.rlike(sought)), lambda b: met(b)), F.transform(wrapped, lambda b: met(b, True))))
+
+    hits = F.when(F.col("line").rlike(sought), F.flatten(F.transform(F.array(every), found)))
     nothing = F.array().cast("array<struct<label: string, share: double>>")
     placed = base_places(rows.withColumn("line", normalised(F.col("text")))).withColumn("hits", F.coalesce(hits, nothing))
     labels = F.array_sort(F.array_union("base", F.transform("hits", lambda h: h["label"])))
