@@ -27,9 +27,10 @@ REPEAT_TOKENS, REPEAT_PAGES = 8, 3
 GROUP_CHARS = 4_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(?=/)[^>]*(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(?=/)[^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+#: Elements of running text: inside an article, their names and classes say nothing about what they are for.
+_TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figure figcaption caption summary address".split())
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 _SKIP = _RAW | {"nav", "header", "footer", "aside", "form", "menu", "select", "button", "svg", "canvas", "object", "dialog", "head", "math"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -46,16 +47,28 @@ def page_host(url: str | None) -> str:
     return m[1].lower() if (m := re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")) else ""
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes of a tag; the first of a name counts."""
+    found: dict[str, str] = {}
+    for key, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(key.lower(), html.unescape("".join(values)))
+    return found
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(re.search(r"(?:^|;)\s*display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
 def page_blocks(source: str | None) -> list[tuple[str, bool]]:
     """(text, whether inside the article) of the blocks that may be main text, in page order."""
-    source = (source or "").replace("\0", "")
+    source = source or ""
     blocks: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, skipped, inside an article
     parts: list[str] = []
     state = {"article": False}
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             blocks.append((text, bool(stack) and stack[-1][2]))
         parts.clear()
@@ -65,7 +78,8 @@ def page_blocks(source: str | None) -> list[tuple[str, bool]]:
         m = _MARKUP.search(source, at)
         end = m.start() if m else size
         if end > at and not (stack and stack[-1][1]):
-            parts.append(source[at:end])
+            # Decoded node by node: no reference runs over markup.
+            parts.append(html.unescape(source[at:end]))
         if not m:
             break
         at = m.end()
@@ -101,14 +115,16 @@ def page_blocks(source: str | None) -> list[tuple[str, bool]]:
         if name in _VOID:
             continue
         skipped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        names = {x for v in _NAMES.findall(m[3]) for x in re.split(r"[^a-z0-9]+", "".join(v).lower())} if m[3] else set()
+        attributes = attributes_of(m[3]) if m[3] else {}
         if not skipped:
-            skipped = name in _SKIP or name not in ("html", "body", "main") and (not _SKIP_NAMES.isdisjoint(names) or bool(m[3] and _HIDDEN.search(m[3])))
+            names = {x for k in ("class", "id", "role") if k in attributes for x in re.split(r"[^a-z0-9]+", attributes[k].lower())}
+            told = not _SKIP_NAMES.isdisjoint(names) and not (inside and (name in _TEXT or name in _INLINE))
+            skipped = name in _SKIP or name not in ("html", "body", "main", "article") and (told or is_hidden(attributes))
         if name in _RAW and not m[3].endswith("/"):
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
             at = stop.end() if stop else size
             continue
-        if not skipped and (name in ("article", "main") or "main" in names and "role" in m[3].lower()):
+        if not skipped and (name in ("article", "main") or attributes.get("role", "").lower() == "main"):
             inside = state["article"] = True
         stack.append((name, skipped, inside))
     flush()
@@ -121,7 +137,7 @@ def repeated_tokens(pages: list[list[str]], least: int = REPEAT_TOKENS, several:
     """Which tokens of each page lie in a substring of `least` tokens or more that is on `several` distinct pages.
 
     Suffixes are sorted by their first `least` tokens (prefix doubling); longer repeats are unions of
-    these. Substrings don't run over the end of a page.
+    these, so what they cover is what all longest repeats cover. Substrings don't run over the end of a page.
     """
     sizes = np.array([len(p) for p in pages], np.int64)
     n = int(sizes.sum())
