@@ -13,6 +13,7 @@ mappings that the template is given and the filters below; there are no calls an
 from __future__ import annotations
 
 import hashlib
+import itertools
 import operator
 import re
 from collections.abc import Callable, Iterator
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlake.llm.common import prepare
+from symlake.llm.common import BATCH_ROWS, prepare
 
 START, END, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
+#: What is handed on at once of a long conversation; where it is cut changes nothing in the text.
 CHUNK_CHARS = 1 << 20
 CHATML = (
     "{% for m in messages %}<|im_start|>{{ m.role|line|escape }}\n"
@@ -375,62 +377,87 @@ _CHUNKS = "conv_id long, chunk int, text string, spans array<struct<start: long,
 
 
 def format_conversations(turns: DataFrame, template: str = CHATML) -> DataFrame:
-    """conv_id, chunk, text, spans: the formatted conversations, in chunks of whole turns.
-
-    turns needs conv_id, turn, role and text; other columns are ignored. A conversation of up to
-    CHUNK_CHARS is one chunk; longer ones go on in the next row of the same partition, so no
-    conversation is held as a whole. spans are the places of the chunk under the generation mark.
-    The template runs over a conversation in chunks of its messages. Null role and text are empty;
-    null turns come first, equal turns by role and text; null conv_ids form one conversation;
-    repeated rows are turns of their own. An empty table gives no rows.
+    """conv_id, chunk, text, spans: the formatted conversations, in chunks.
+
+    turns needs conv_id, turn, role and text; other columns are ignored. The template runs once over
+    a conversation, whose messages it pulls as they are read; what it has said goes out as a row, a
+    chunk, whenever it is over CHUNK_CHARS and not under the generation mark, so neither a
+    conversation nor its text is held as a whole, and the chunks joined are the one rendering. Only
+    a template that looks at the messages in any other way than by one loop over them gets a list of
+    the conversation. spans are the places of the chunk under the generation mark. Null role and
+    text are empty; null turns come first, equal turns by role and text; null conv_ids form one
+    conversation; repeated rows are turns of their own. An empty table gives no rows.
     """
     prepare(turns.sparkSession)
-    compile_template(template)  # an error shows here, not in a task
+    once = read_once(fold(parse(template)))  # an error shows here, not in a task
     rows = turns.select(*(F.col(c).cast(k).alias(c) for c, k in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
-        now: Any = run
-        chunk, messages, size = 0, [], 0
-
-        def out() -> pa.RecordBatch:
-            parts, spans, at = [], [], 0
-            for text, on in render({"messages": messages}):
-                if on and text:
-                    if spans and spans[-1]["end"] == at:
-                        spans[-1]["end"] += len(text)
-                    else:
-                        spans.append({"start": at, "end": at + len(text)})
-                parts.append(text)
-                at += len(text)
-            spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([chunk], pa.int32()), pa.array(["".join(parts)], pa.string()), pa.array([spans], spans_type)], names=["conv_id", "chunk", "text", "spans"])
-
-        for batch in batches:
-            done = []
-            for conv_id, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if messages and (conv_id != now or size > CHUNK_CHARS):
-                    done.append(out())
-                    chunk, messages, size = (chunk + 1 if conv_id == now else 0), [], 0
-                now = conv_id
-                messages.append({"role": role or "", "text": text or ""})
-                size += len(messages[-1]["text"]) + 1
-            if done:
-                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-        if messages:
-            yield out()
+        turns_of = ((conv_id, {"role": role or "", "text": text or ""}) for batch in batches for conv_id, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+        def chunks() -> Iterator[tuple]:
+            for conv_id, rows in itertools.groupby(turns_of, key=lambda t: t[0]):
+                messages = (m for _, m in rows)
+                parts, spans, at, chunk = [], [], 0, 0
+                for text, on in render({"messages": messages if once else list(messages)}):
+                    if on and text:
+                        if spans and spans[-1]["end"] == at:
+                            spans[-1]["end"] += len(text)
+                        else:
+                            spans.append({"start": at, "end": at + len(text)})
+                    if at > CHUNK_CHARS and not on:
+                        yield conv_id, chunk, "".join(parts), spans
+                        parts, spans, at, chunk = [], [], 0, chunk + 1
+                    parts.append(text)
+                    at += len(text)
+                yield conv_id, chunk, "".join(parts), spans
+
+        def batch(done: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), spans_type), strict=True)], names=["conv_id", "chunk", "text", "spans"])
+
+        done, size = [], 0
+        for c in chunks():
+            done.append(c)
+            size += len(c[2])
+            if size > CHUNK_CHARS or len(done) >= BATCH_ROWS:
+                yield batch(done)
+                done, size = [], 0
+        if done:
+            yield batch(done)
 
     return rows.mapInArrow(run, _CHUNKS)
 
 
-def read_turns(text: str) -> list[tuple[str, str]]:
-    """The (role, text) of a formatted chunk."""
+def read_once(tree: tuple) -> bool:
+    """Whether the messages can be pulled as they come: the only mention of them is one loop over them that stands in no other loop."""
+
+    def mentions(x: Any, looped: bool) -> int:
+        """Loops over the messages, each other mention counted as two."""
+        match x:
+            case Name("messages"):
+                return 2
+            case For(name, of, body):
+                own = (2 if looped else 1) if of == Name("messages") else mentions(of, looped)
+                return own + mentions(body, True) * (name != "messages")
+            case tuple():
+                return sum(mentions(y, looped) for y in x)
+        return 0
+
+    return mentions(tree, False) <= 1
+
+
+def read_turns(text: str) -> tuple[list[tuple[str, str]], str]:
+    """The (role, text) of the turns that end in a formatted text, and what is left after the last of them."""
+    *parts, rest = text.split(END + "\n")
     found = []
-    for part in text.split(END + "\n")[:-1]:
-        role, _, rest = part.removeprefix(START).partition("\n")
-        found.append((unline(unescape(role)), unescape(rest)))
-    return found
+    for part in parts:
+        role, _, said = part.removeprefix(START).partition("\n")
+        found.append((unline(unescape(role)), unescape(said)))
+    return found, rest
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
@@ -439,6 +466,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
+        rest = ""
 
         def rows(done: list[list]) -> pa.RecordBatch:
             done = [[c, n, a.hexdigest(), k, b.hexdigest(), size] for c, n, a, k, b, size in done]
@@ -452,8 +480,9 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                 if not chunk:
                     if now:
                         done.append(now)
-                    now = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in read_turns(text):
+                    now, rest = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], ""
+                found, rest = read_turns(rest + text)
+                for role, said in found:
                     now[1] += 1
                     now[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                 for s in spans:
