@@ -23,7 +23,11 @@ from symlake.llm.common import prepare
 SAMPLE_DOCS = 500
 #: So many languages are scored at once; and below this, sums are scaled up.
 COLUMNS, TINY = 8, 1e-100
-WORD_CHARS, EM_ROUNDS, SHARED = 64, 4, 0.02
+EM_ROUNDS, SHARED = 4, 0.02
+#: Longer runs of letters are scored position by position instead of in a matrix; the same sums.
+LONG_CHARS = 64
+#: Bounds of the learning sample besides SAMPLE_DOCS: characters of each language (in expectation), letters of a run.
+SAMPLE_CHARS, LEARN_CHARS = 20_000_000, 512
 _CACHE = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 _UNKNOWN, _SCALE, _SHIFT = 1e-7, 8.0, np.uint64(44)
@@ -90,12 +94,12 @@ class Lattice:
                 break
         return out
 
-    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(indices, matrix of code points) of the words of each length, with the start mark."""
+    def groups(self, words: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(indices, matrix of code points) of the words of each length up to most, with the start mark; some million code points at once."""
         marked = [_START + w for w in words]
         size = np.fromiter(map(len, marked), np.int64, len(marked))
-        for n in np.unique(size).tolist():
-            for at in np.array_split(at := np.flatnonzero(size == n), -(-len(at) // 20_000)):
+        for n in np.unique(size[size <= most + 1]).tolist():
+            for at in np.array_split(at := np.flatnonzero(size == n), -(-len(at) // max(1, min(20_000, 1_300_000 // n)))):
                 text = "".join(marked[i] for i in at.tolist())
                 yield at, np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).reshape(len(at), n)
 
@@ -139,9 +143,52 @@ class Lattice:
             alpha[j, rows] += alpha[i, rows] * self.weights(p, i, j, piece)
         return alpha, logs
 
+    def long_log_probability(self, word: str, p: np.ndarray, segment: int = 4096) -> np.ndarray:
+        """What log_probabilities gives for one word, however long, in memory for a segment of its letters."""
+        points = np.frombuffer((_START + word).encode("utf-32-le", "replace"), np.uint32)
+        n, width, languages = len(points), int(self.chars.max()), p.shape[1]
+        # alpha of the last `width` positions, latest first; log_by is what it was divided by.
+        ring, log_by = np.zeros((width, languages)), np.zeros(languages)
+        ring[0] = 1
+        ahead = np.zeros((width, width, languages))  # weights of spans that begin before the segment and end in it
+        for at in range(0, n, segment):
+            stop = min(n, at + segment)
+            size = stop - at
+            into = np.zeros((size + width, width, languages))  # [end - at - 1, letters - 1]
+            into[:width] = ahead
+            rows, h = np.arange(size), np.zeros(size, np.uint64)
+            for letters in range(1, width + 1):
+                inside = rows + at + letters <= n
+                rows, h = rows[inside], h[inside]
+                h = h * _BASE + points[rows + at + letters - 1].astype(np.uint64)
+                place = self.find(h)
+                piece = np.where(place >= 0, self.values[place], -1)
+                if letters == 1:
+                    into[rows, 0] = self.weights(p, 0, 1, piece)
+                else:
+                    known = piece >= 0
+                    into[rows[known] + letters - 1, letters - 1] = self.weights(p, 0, letters, piece[known])
+                rows, h = rows[place >= 0], h[place >= 0]
+                if not len(rows):
+                    break
+            for i in range(size):
+                new = (ring * into[i]).sum(axis=0)
+                ring[1:] = ring[:-1]
+                ring[0] = new
+                if i % 16 == 15:
+                    by = np.maximum(ring.max(axis=0), 1e-300)
+                    ring /= by
+                    log_by += np.log(by)
+            ahead = into[size:].copy()
+        return np.log(ring[0]) + log_by - n * np.log(_SCALE)
+
     def log_probabilities(self, words: list[str], p: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), p.shape[1]))
-        for at, points in self.groups(words):
+        long = [i for i, w in enumerate(words) if len(w) > LONG_CHARS]
+        for i in long:
+            for c in range(0, p.shape[1], COLUMNS):
+                out[i, c : c + COLUMNS] = self.long_log_probability(words[i], p[:, c : c + COLUMNS])
+        for at, points in self.groups(words, LONG_CHARS):
             edges = self.edges(points)
             for c in range(0, p.shape[1], COLUMNS):
                 alpha, logs = self.forward(points, p[:, c : c + COLUMNS], edges)
@@ -155,7 +202,7 @@ class Lattice:
         p /= p.sum(axis=0)
         for _ in range(rounds):
             expected = np.zeros((self.size, languages))
-            for at, points in self.groups(words):
+            for at, points in self.groups(words, LEARN_CHARS):
                 edges = self.edges(points)
                 place = np.full(len(words), -1)
                 place[at] = np.arange(len(at))
@@ -181,14 +228,6 @@ class Lattice:
         return p
 
 
-
-def _split(words: list[str]) -> list[str]:
-    """Runs over WORD_CHARS letters count as several words."""
-    if max(map(len, words), default=0) <= WORD_CHARS:
-        return words
-    return [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
-
-
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2, F.lit(False))
 
@@ -196,24 +235,27 @@ def held_out() -> Column:
 def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, piece probabilities, log priors) from the labelled documents that aren't held out.
 
-    About sample_docs documents of each language are used, chosen by a hash of doc_id and with their
-    whole texts; the counts that reach the driver are bounded by that.
+    About sample_docs documents of each language are used, fewer if they would hold more than
+    SAMPLE_CHARS, chosen by a hash of doc_id and text; the counts that reach the driver are bounded
+    by that. Runs of over LEARN_CHARS letters aren't learned from. Predictions know no such bounds.
     """
     vocabulary = vocabulary or default_vocabulary()
     spark = docs.sparkSession
     labelled = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    chars = {r["lang"]: max(1, r["chars"]) for r in sizes}
     sizes = sorted((r["lang"], r["n"]) for r in sizes)
     if not sizes:
         return [], np.zeros((1, 0)), np.zeros(0)
-    share = spark.createDataFrame([(lang, min(1.0, sample_docs / n)) for lang, n in sizes], "lang string, share double")
-    u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    share = spark.createDataFrame([(lang, min(1.0, sample_docs / n, SAMPLE_CHARS / chars[lang])) for lang, n in sizes], "lang string, share double")
+    # The text counts too, so that rows without an id don't share one fate.
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in _split(words_of(text)))
+                seen.update((lang, w) for w in words_of(text) if len(w) <= LEARN_CHARS)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     rows = (
@@ -268,7 +310,7 @@ def identify_rows(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
                 table = table[:0]
             rows, ends = [], []
             for text in batch.column(place):
-                words = _split(words_of(text.as_py())) if languages else []
+                words = words_of(text.as_py()) if languages else []
                 rows.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
                 ends.append(len(words))
             if known.new:
