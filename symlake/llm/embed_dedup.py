@@ -23,6 +23,8 @@ from symlake.llm.common import cut, prepare
 from symlake.llm.components import connected_components
 
 BLOCK_ROWS, BLOCK_CELLS, STRIPE = 8192, 1 << 20, 512
+#: Tasks that the tiles are spread over at most.
+PARTITIONS = 20_000
 
 
 def usable(vector: str) -> F.Column:
@@ -75,12 +77,13 @@ def link_tile(raw: np.ndarray, times: np.ndarray, rows: np.ndarray, cols: np.nda
     exact = dim * 127 * 127 < 1 << 24  # float32 sums whole numbers exactly up to here
     if not exact:
         right = right.astype(np.float64)
-    most_error, most_scale = error[cols].max(), scale[cols].max()
+    most_error, most_scale, least_scale = error[cols].max(), scale[cols].max(), scale[cols].min()
     for at in range(0, len(rows), STRIPE):
         part = rows[at : at + STRIPE]
         product = q[part].astype(right.dtype) @ right
         # The least whole number that can still mean a link, for any partner in this tile.
-        least = (threshold - 1e-9 - error[part] - length[part] * most_error) / (scale[part] * most_scale)
+        room = threshold - 1e-9 - error[part] - length[part] * most_error
+        least = room / (scale[part] * np.where(room < 0, least_scale, most_scale))
         r, c = np.nonzero(product >= least[:, None].astype(right.dtype))
         value = product[r, c].astype(np.float64)
         a, b = part[r], cols[c]
@@ -118,7 +121,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
     classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
     sizes = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
     per = F.greatest(F.lit(64), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_CELLS) / F.col("dim"))))
-    sizes = sizes.select("dim", F.ceil(F.col("n") / per).cast("int").alias("blocks"))
+    sizes = cut(sizes.select("dim", F.ceil(F.col("n") / per).cast("int").alias("blocks")))
+    tiles = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
     placed = classes.withColumn("dim", F.size("embedding")).join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("rep", "embedding"), F.col("blocks")).cast("int"))
     cells = placed.select(
         "dim", "rep", "times", "embedding", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -138,7 +142,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
         })
 
     # A class is known by its smallest id; two classes share one only if a vec_id repeats with different vectors.
-    found = cut(cells.groupBy("dim", "i", "j").applyInArrow(tile, "rep long, class_of long, links long"))
+    # Tiles are small in bytes and long in work: their partitions are named, so that none are merged.
+    spread = cells.repartition(int(min(max(1, 2 * tiles), PARTITIONS)), "dim", "i", "j")
+    found = cut(spread.groupBy("dim", "i", "j").applyInArrow(tile, "rep long, class_of long, links long"))
     links = found.filter("links > 0").groupBy("rep").agg(F.sum("links").alias("linked"))
     grouped = connected_components(found.filter("links = 0").select(F.col("rep").alias("src"), F.col("class_of").alias("dst")))
     members = rows.join(classes.select(F.col("embedding"), "rep", "times"), "embedding", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("rep"), "times")
