@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symlake.llm.common import prepare
+from symlake.llm.common import cut, prepare
 
 QUERY_ROWS, BLOCK_ROWS = 1024, 8192
+#: Tasks that the blocks are spread over at most.
+PARTITIONS = 20_000
 DEPTHS = (0.25, 0.5, 1.0)
 
 
@@ -91,7 +93,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     blocks = x.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     parts = asked.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
     cell = ["dim", "part", "block"]
-    grid = blocks.join(parts, "dim")
+    grid = cut(blocks.join(parts, "dim"))
     left = asked.join(grid, "dim").select(
         "dim", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v"
     )
@@ -110,6 +112,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
             "score": pa.array(score, pa.int64()),
         })
 
+    # Blocks are small in bytes and long in work: their partitions are named, so that none are merged.
+    cells = grid.agg(F.sum(F.col("blocks") * F.col("parts"))).first()[0] or 0
+    n = int(min(max(1, 2 * cells), PARTITIONS))
+    left, right = left.repartition(n, *cell), right.repartition(n, *cell)
     best = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
