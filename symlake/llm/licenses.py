@@ -1,38 +1,44 @@
-"""License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
-
-Blocks are the lines of a text, and the windows of consecutive words in its paragraphs (runs of lines
-with words, so comment marks and wrapping don't count); a window has 1 / t times a template's words.
-A paragraph that doesn't hold enough has no window that does. A template's tokens are ordered by how many blocks of the corpus hold
-them, rarest first. A block holds enough of a template of n tokens at containment t only if it holds
-k = ceil(t n) of them, so
-  prefix filter:     it holds one of the n - k + 1 rarest (any k tokens reach into that prefix),
-  length filter:     it has k distinct tokens at least,
-  position filter:   if its first shared token stands at place p of the order, n - p >= k must hold.
-What passes is counted in full. The templates are few and constant; only they are in the plan.
+"""License scans: fixed phrases, and an exact set-similarity join of text blocks with license notices.
+
+A notice of m words and n distinct tokens is met by a block, m / t consecutive words of a text at
+containment t (rounded up), that holds k = ceil(t n) of its tokens at least, its telling words among
+them. Line breaks, comment marks and punctuation are no words, so wrapping doesn't count. The join of
+all blocks with all notices goes over single tokens. A notice's tokens are ordered by how many
+documents of the corpus hold them, rarest first; then
+  prefix filter:     a block that meets it holds one of the n - k + 1 rarest (any k tokens reach into
+                     that prefix), so only words around a prefix token are looked at,
+  length filter:     these words have k distinct ones at least,
+  position filter:   with the prefix token at place p the first that they share, k of the tokens from
+                     place p on are among them.
+What passes is counted in full, block by block. Notices are a table; what moves for a hit is twice
+the longest block at most, and texts themselves stay where they are.
 """
 
 from __future__ import annotations
 
-import functools
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm.common import prepare
+from symlake.llm.common import broadcast_if_small, cut, prepare, stored
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 CONTAINMENT = 0.8
-#: Short public notices, by label.
-TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "gpl": ("this work is licensed under the gnu general public license version", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    "cc-by-nc": ("licensed under cc by nc",),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license",),
-    "public-domain": ("this is free and unencumbered software released into the public domain",),
-}
+#: Short public notices: label, text, telling words (without which a block isn't of this license).
+NOTICES = (
+    ("apache-2.0", "under the Apache License, Version 2.0", "apache"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ""),
+    ("mit", "under the MIT License", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ""),
+    ("bsd", "under the BSD License", "bsd"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ""),
+    ("gpl", "under the GNU General Public License, version", "gnu general"),
+    ("gpl", "under the GPL license", "gpl"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general"),
+    ("cc-by-nc", "licensed under CC BY NC", "cc by nc"),
+    ("mpl-2.0", "under the Mozilla Public License version 2.0", "mozilla"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", "mozilla"),
+    ("public-domain", "this is free and unencumbered software released into the public domain", "unencumbered"),
+)
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -80,74 +86,69 @@ def base_places(docs: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def token_order(blocks: DataFrame) -> dict[str, int]:
-    """Of every template token, the number of blocks that hold it; counted in each task first, one row per token in the end."""
-    tokens = sorted({t for texts in TEMPLATES.values() for x in texts for t in x.replace(".", " ").split()})
-    held = F.array_intersect(F.array(*map(F.lit, tokens)), F.split("block", " "))
-    counted = {r["t"]: r["n"] for r in blocks.select(F.explode(held).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    return {t: counted.get(t, 0) for t in tokens}
+def notice_table(spark: SparkSession, notices: tuple = NOTICES) -> DataFrame:
+    return spark.createDataFrame(list(notices), "label string, notice string, telling string")
+
+
+def _postings(notices: DataFrame, documents: DataFrame, containment: float) -> DataFrame:
+    """One row per notice and prefix token: token, place (from 1), label, ordered (tokens, rarest first), need, width, telling."""
+    split = lambda c: F.filter(F.split(normalised(F.col(c)), " "), lambda x: x != "")
+    words = notices.select("label", split("notice").alias("words"), split("telling").alias("telling")).distinct().filter(F.size("words") > 0)
+    words = cut(words.withColumn("id", F.monotonically_increasing_id()))
+    tokens = words.select("id", F.explode(F.array_distinct("words")).alias("token"))
+    sought = broadcast_if_small(cut(tokens.select("token").distinct()))
+    # Counted in each task before the shuffle: one row per token in the end.
+    held = documents.select(F.explode(F.array_distinct(F.split("line", " "))).alias("token")).join(sought, "token").groupBy("token").agg(F.count("*").alias("held"))
+    ordered = tokens.join(held, "token", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token"))).alias("o"))
+    n = F.size("ordered")
+    rows = words.join(ordered, "id").select("label", F.col("o.token").alias("ordered"), F.size("words").alias("m"), "telling")
+    rows = rows.withColumn("need", F.ceil(n * containment - 1e-9).cast("int")).withColumn("width", F.ceil(F.col("m") / containment - 1e-9).cast("int"))
+    return rows.select("label", "ordered", "need", "width", "telling", F.posexplode(F.slice("ordered", F.lit(1), n - F.col("need") + 1)).alias("place", "token")).withColumn("place", F.col("place") + 1)
 
 
-def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, notices: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    docs needs doc_id and text; other columns are ignored. Null and empty texts have no words and no
-    labels. Rows stand for themselves, so null and repeated doc_ids change nothing. score is the
-    greatest containment of a template that one of the text's blocks meets, 1 where a phrase stands
-    word for word, else 0. An empty table gives no rows.
+    docs needs doc_id and text, notices (NOTICES if None) label, notice and telling; other columns are
+    ignored. Null and empty texts have no words and no labels. Rows stand for themselves, so null and
+    repeated doc_ids change nothing. score is the greatest containment of a notice that one of the
+    text's blocks meets, 1 where a phrase stands word for word, else 0. An empty table gives no rows,
+    an empty list of notices leaves the phrases.
     """
-    prepare(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    order = token_order(rows.select(F.explode(F.split("text", "\n")).alias("block")).select(normalised(F.col("block")).alias("block")))
-
-    tests, prefixes = [], set()
-    for label, texts in TEMPLATES.items():
-        for notice in texts:
-            tokens = sorted(set(notice.replace(".", " ").split()), key=lambda t: (order[t], t))
-            need = math.ceil(containment * len(tokens) - 1e-9)
-            prefix = tokens[: len(tokens) - need + 1]
-            prefixes.update(prefix)
-            tests.append((label, tokens, need, prefix, math.ceil(len(notice.replace(".", " ").split()) / containment - 1e-9)))
-
-    def met(block: Column, windows: bool = False) -> Column:
-        words = F.array_distinct(F.split(block, " "))
-        found = []
-        for label, tokens, need, prefix, width in tests:
-            ordered, size = F.array(*map(F.lit, tokens)), len(tokens)
-            first = F.array(*map(F.lit, prefix))
-            shared = F.array_intersect(ordered, words)
-            place = F.array_position(ordered, F.get(F.array_intersect(first, words), F.lit(0)))
-            passes = F.arrays_overlap(first, words) & (F.size(words) >= need) & (size - place + 1 >= need)
-            most = F.size(shared)
-            if windows:
-                run = F.split(block, " ")
-                at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(run) - width + 1))
-                most = F.when(passes & (most >= need), F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(ordered, F.slice(run, i, width))))))
-            found.append(F.when(passes & (most >= need), F.struct(F.lit(label).alias("label"), (most / size).alias("share"))))
-        return F.array_compact(F.array(*found))
-
-    # A text whose words hold no template's prefix has no block that could; the others' lines are looked at.
-    sought = r"\b(?:" + "|".join(sorted(prefixes)) + r")\b"
-    every = F.transform(F.split("text", "\n"), normalised)
-    known = F.array(*map(F.lit, sorted({t for _, tokens, *_ in tests for t in tokens})))
-
-    def enough(held: Column) -> Column:
-        checks = [F.size(F.array_intersect(F.array(*map(F.lit, tokens)), held)) >= need for _, tokens, need, _, _ in tests]
-        return (F.size(held) >= min(need for _, _, need, _, _ in tests)) & functools.reduce(lambda x, y: x | y, checks)
-
-    def found(lines: Column) -> Column:
-        """What the lines of a text, and the paragraphs of several lines, meet. Arrays of one bind a value that is used often."""
-        joined = F.split(F.array_join(F.transform(lines, lambda b: F.when(b == "", F.lit("\n")).otherwise(b)), " "), "\n")
-        paragraphs = F.filter(F.array_except(F.transform(joined, F.trim), lines), lambda b: b.rlike(sought))
-        wrapped = F.filter(paragraphs, lambda b: F.exists(F.array(F.array_intersect(known, F.split(b, " "))), enough))
-        return F.flatten(F.concat(F.transform(F.filter(lines, lambda b: b.rlike(sought)), lambda b: met(b)), F.transform(wrapped, lambda b: met(b, True))))
-
-    hits = F.when(F.col("line").rlike(sought), F.flatten(F.transform(F.array(every), found)))
-    nothing = F.array().cast("array<struct<label: string, share: double>>")
-    placed = base_places(rows.withColumn("line", normalised(F.col("text")))).withColumn("hits", F.coalesce(hits, nothing))
-    labels = F.array_sort(F.array_union("base", F.transform("hits", lambda h: h["label"])))
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("line"))
+    postings = cut(_postings(notice_table(spark) if notices is None else notices, rows, containment))
+    # The driver sees the prefix tokens, which the list of notices bounds.
+    prefix = sorted(r[0] for r in postings.select("token").distinct().collect())
+    reach = postings.agg(F.max("width")).first()[0] or 1
+
+    def around(words: Column) -> Column:
+        def hit(x: Column, i: Column) -> Column:
+            begin = F.greatest(i - (reach - 1), F.lit(0))
+            return F.when(x.isin(prefix), F.struct(x.alias("token"), (i - begin + 1).alias("at"), F.slice(words, begin + 1, i - begin + reach).alias("near")))
+
+        return F.filter(F.transform(words, hit), lambda h: h.isNotNull())
+
+    # An array of one binds the words, which the lambdas read often.
+    hits = F.flatten(F.transform(F.array(F.split("line", " ")), around)) if prefix else F.lit(None).cast("array<struct<token: string, at: int, near: array<string>>>")
+    found = stored(base_places(rows).withColumn("hits", hits).drop("line").withColumn("row", F.monotonically_increasing_id()))
+
+    pairs = found.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*").join(broadcast_if_small(postings), "token")
+    begin = F.greatest(F.col("at") - F.col("width") + 1, F.lit(1))
+    pairs = pairs.select("row", "label", "ordered", "need", "width", "telling", "place", (F.col("at") - begin + 1).alias("at"), F.slice("near", begin, F.col("at") - begin + F.col("width")).alias("near"))
+    pairs = pairs.filter(F.size(F.array_distinct("near")) >= F.col("need"))
+    pairs = pairs.filter(F.size(F.array_intersect(F.slice("ordered", F.col("place"), F.size("ordered")), "near")) >= F.col("need"))
+
+    def shared(i: Column) -> Column:
+        held = F.transform(F.array(F.slice("near", i, F.col("width"))), lambda w: F.when(F.size(F.array_except("telling", w)) == 0, F.size(F.array_intersect("ordered", w))))
+        return F.get(held, F.lit(0))
+
+    most = pairs.select("row", "label", "need", (F.array_max(F.transform(F.sequence(F.lit(1), F.col("at")), shared))).alias("most"), F.size("ordered").alias("n"))
+    met = most.filter(F.col("most") >= F.col("need")).groupBy("row").agg(F.collect_set("label").alias("own"), F.max(F.col("most") / F.col("n")).alias("share"))
+    placed = found.drop("hits").join(met, "row", "left")
+    labels = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))
     return placed.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )

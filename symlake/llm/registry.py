@@ -101,5 +101,32 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN part ON id = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id"""
 
 
+_NOTICES = ", ".join(f"({i}, '{label}', '{notice.lower()}', '{telling}')" for i, (label, notice, telling) in enumerate(licenses.NOTICES))
+_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+_OP8 = f"""WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM documents
+), p AS (
+  SELECT r, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS cc,
+    list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl,
+    list_filter(range(0, len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS res FROM d
+), b AS (
+  SELECT r, list_concat(list_concat(cc, gpl), res) AS places, list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base FROM p
+), notice AS (
+  SELECT id, label, list_distinct(w) AS tokens, len(list_distinct(w)) AS n, ceil(0.8 * len(list_distinct(w)) - 1e-9) AS need, ceil(len(w) / 0.8 - 1e-9) AS width, string_split(telling, ' ') AS telling
+  FROM (SELECT id, label, telling, regexp_extract_all(notice, {_WORD}) AS w FROM (VALUES {_NOTICES}) v(id, label, notice, telling))
+), word AS (SELECT r, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM d
+), hit AS (SELECT r, i, t, id FROM word JOIN (SELECT id, unnest(tokens) AS t FROM notice) USING (t)
+), able AS (SELECT r, id FROM hit JOIN notice USING (id) GROUP BY r, id, need HAVING count(DISTINCT t) >= need
+), close AS (SELECT hit.* FROM hit JOIN able USING (r, id)
+), block AS (
+  SELECT x.r, x.id, x.i, count(DISTINCT y.t) AS c, list(DISTINCT y.t) AS ts FROM close x JOIN notice m USING (id) JOIN close y ON y.r = x.r AND y.id = x.id AND y.i BETWEEN x.i AND x.i + m.width - 1 GROUP BY ALL
+), met AS (
+  SELECT r, list_distinct(list(label)) AS own, max(c / n) AS share FROM block JOIN notice USING (id) WHERE c >= need AND (telling = [''] OR list_has_all(ts, telling)) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(own, [])))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d JOIN b USING (r) LEFT JOIN met USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_neardup": _OP1, "op6_topk": _OP6, "op7_minhash_neardup": _OP7}
+    return {"op1_embedding_neardup": _OP1, "op6_topk": _OP6, "op7_minhash_neardup": _OP7, "op8_license_scan": _OP8}

@@ -158,6 +158,29 @@ def test_no_word_zeroes_all_languages():
     assert np.isfinite(many).all() and np.allclose(many - one, 63 * np.log(langid._UNKNOWN))
 
 
+def test_long_runs_sum_all_segmentations():
+    lattice = langid.Lattice(langid.default_vocabulary())
+    rng = np.random.default_rng(0)
+    p = rng.random((lattice.size, 3))
+    p /= p.sum(axis=0)
+    for n in (1, 30, 64):
+        w = "".join(rng.choice(list("abcdeßnrst\u1200"), n))
+        assert np.allclose(lattice.log_probabilities([w], p)[0], lattice.long_log_probability(w, p, segment=7))
+    w = "".join(rng.choice(list("abcdeßnrst"), 700))
+    points = np.frombuffer(("▁" + w).encode("utf-32-le"), np.uint32).reshape(1, -1)
+    alpha, logs = lattice.forward(points, p)
+    matrix = np.log(alpha[-1, 0]) + (0 if logs is None else logs[-1, 0]) - points.shape[1] * np.log(langid._SCALE)
+    assert np.allclose(lattice.log_probabilities([w], p)[0], matrix)
+
+
+def test_language_id_samples_rows_without_an_id(spark):
+    rows = [(None, f"{'der die das und' if i % 2 else 'the and that with'} {i}", "de" if i % 2 else "en") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = langid.learn(docs, sample_docs=100)
+    got = langid.identify_rows(docs, model).collect()
+    assert len(got) == len(rows) and sum(r["lang"] == r["lang_pred"] for r in got) == len(rows)
+
+
 def test_forward_sums_all_segmentations():
     lattice = langid.Lattice(langid.default_vocabulary())
     p = np.random.default_rng(0).random((lattice.size, 2))
@@ -235,19 +258,33 @@ def test_licenses(docs, rows):
         at = sorted(sum(places.values(), []))
         labels = {v for k, v in licenses.PHRASES.items() if places[k]}
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(labels)))
-        blocks = [set(re.findall(r"[a-z0-9]+", b.lower())) for b in (text[r["doc_id"]] or "").split("\n")]
-        own = {k for k, notices in licenses.TEMPLATES.items() for n in notices if any(len(b & (t := set(n.replace(".", " ").split()))) >= 0.8 * len(t) - 1e-9 for b in blocks)}
-        assert r["labels"] == ",".join(sorted(labels | own)) and 0 <= r["score"] <= 1
+        own, share = set(), 0.0
+        for label, notice, telling in licenses.NOTICES:
+            n = re.findall("[a-z0-9]+", notice.lower())
+            width = next(k for k in range(len(n), 2 * len(n) + 2) if 5 * len(n) <= 4 * k)
+            for i in range(len(w)):
+                held = set(w[i : i + width]) & set(n)
+                if 5 * len(held) >= 4 * len(set(n)) and set(telling.split()) <= held:
+                    own.add(label)
+                    share = max(share, len(held) / len(set(n)))
+        assert r["labels"] == ",".join(sorted(labels | own)) and r["score"] == (1.0 if at else share)
 
 
 def test_licenses_in_wrapped_notices(spark):
     mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including\n */"
     gpl = "# This program is free software: you can redistribute it and/or modify\r\n# it under the terms of the GNU General Public License as published by\r\n# the Free Software Foundation"
-    words = licenses.TEMPLATES["bsd"][0].split()
-    rows = [(1, mit), (2, gpl), (3, "a b c\n" * 30 + mit + "\nx y z" * 30), (4, "\n".join(f"{w} {'filler ' * 12}" for w in words)), (5, "\n\n".join(words)), (6, "plain\ntext")]
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # Words far apart, or in paragraphs of their own, are no notice.
-    assert [got[i]["labels"] for i in range(1, 7)] == ["mit", "gpl", "mit", "", "", ""] and got[1]["score"] == got[3]["score"] == 1
+    words = next(n for label, n, _ in licenses.NOTICES if label == "bsd" and len(n) > 50).split()
+    rows = [(1, mit, "x"), (2, gpl, "x"), (3, "a b c\n" * 30 + mit + "\nx y z" * 30, "x"), (4, "\n".join(f"{w} {'filler ' * 12}" for w in words), "x"), (5, " ".join(words), "x"), (6, "plain\ntext", "x"), (6, None, "x"), (None, "", "x")]
+    # The telling word decides between notices that share the rest.
+    rows += [(7, "Licensed under CC BY 4.0.", "x"), (8, "This software is released under the GPL license", "x"), (9, "Licensed under the Mozilla Public License version 2.0", "x"), (10, "Licensed under CC BY-NC 4.0.", "x"), (11, "under the license", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, labels string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [got[i]["labels"] for i in range(1, 12)] == ["mit", "gpl", "mit", "", "bsd", "", "cc-by", "gpl", "mpl-2.0", "cc-by,cc-by-nc", ""] and got[1]["score"] == got[3]["score"] == 1
+    assert licenses.scan(docs).count() == len(rows) and licenses.scan(docs.limit(0)).count() == 0
+    none = spark.createDataFrame([], "label string, notice string, telling string")
+    assert {r["labels"] for r in licenses.scan(docs, none).collect()} == {"", "gpl", "cc-by"}
+    many = spark.createDataFrame([(f"l{i}", f"wholly own words{i} of list{i} number{i}", "") for i in range(300)] + [("wider", "x y z " * 20, "")], "label string, notice string, telling string")
+    assert {r["labels"] for r in licenses.scan(spark.createDataFrame([(1, "own words7 of LIST7, number7\n and wholly else")], "doc_id long, text string"), many).collect()} == {"l7"}
 
 
 def test_mixing(spark):
@@ -285,6 +322,23 @@ def test_html(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[12]["text"] == "story2 that page 2 alone tells"
 
 
+def test_html_markup_and_names(spark):
+    cases = {
+        '<article><p class="overflow-hidden">two</p><p title="the hidden cost">a</p><a href="/hidden/x">b</a><p id="search">s</p><p class="alert">t</p></article>': "two\n\na\n\nb\n\ns\n\nt",
+        '<article><p hidden>no</p><p>yes</p><div class="ad">no</div><div id="comments"><p>no</p></div><p style="color:red; display: none">no</p><p aria-hidden="true">no</p></article>': "yes",
+        """<article><p class="a"">x "quoted" y</p><p>&am<b>p;</b></p><p data-x='a>b' class="c>d">1 &lt; 2</p></article>""": 'x "quoted" y\n\n&amp;\n\n1 < 2',
+        "<article>": "", "<p>a": "a", "</p></div><article>\0b\t\n c</article>": "\0b c", "<script>x</script><!-- a": "",
+    }
+    rows = [(i, "http://h.example/", h, "clash", 1) for i, h in enumerate(cases)] + [(0, "http://h.example/", next(iter(cases)), "clash", 1), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html.extract(pages).collect()
+    assert len(got) == len(rows) and all(r["text"] == ([*cases.values()][r["page_id"]] if r["page_id"] is not None else "") for r in got)
+    assert html.extract(pages.limit(0)).count() == 0
+    # A copied article stays, also where it is on many pages of a host.
+    copies = spark.createDataFrame([(i, "http://h.example/", f"<nav>a b c d e f g h i j</nav><article>{'one two three four five six seven eight nine ten'}</article>") for i in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract(copies).collect()} == {"one two three four five six seven eight nine ten"}
+
+
 def test_html_repeats_are_counted_over_a_whole_host(spark, monkeypatch):
     bar = "Home About us Contact and all the other long links here"
     rows = [(i, f"http://h.example/{i}", f"<div>{bar if i < 4 else f'other{i}'}</div><div>{' '.join(f'w{i}x{k}' for k in range(40))}</div>") for i in range(60)]
@@ -324,6 +378,29 @@ def test_chat(spark):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss))
 
 
+def test_chat_renders_a_long_conversation_once(spark, monkeypatch):
+    rows = [(1, i, "assistant" if i % 2 else "user", "x<|im_end|>\n" * (i % 5) + "<\\|") for i in range(60)] + [(2, 0, None, None), (1, 3, "assistant", "again")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("chunk", F.lit("clash"))
+    framed = "HEAD{{ nothing }}" + chat.CHATML + "TAIL"
+    twice = "{% for m in messages %}{{ m.role }}{% endfor %}" + chat.CHATML
+
+    def joined(template):
+        parts = defaultdict(str)
+        for r in sorted(chat.format_conversations(turns, template).collect(), key=lambda r: (r["conv_id"], r["chunk"])):
+            parts[r["conv_id"]] += r["text"]
+        return parts
+
+    digests = lambda: sorted(tuple(r) for r in chat.conversation_digests(chat.format_conversations(turns)).collect())
+    whole, said = [joined(t) for t in (framed, twice)], digests()
+    n = chat.format_conversations(turns).count()
+    monkeypatch.setattr(chat, "CHUNK_CHARS", 40)
+    assert [joined(t) for t in (framed, twice)] == whole and digests() == said and chat.format_conversations(turns).count() > n + 10
+    assert whole[0][1].startswith("HEAD<|im_start|>user") and whole[0][1].count("HEAD") == whole[0][1].count("TAIL") == 1
+    assert {r[0]: r[5] for r in said} == {c: len(t) for c, t in joined(chat.CHATML).items()}
+    assert chat.format_conversations(turns.limit(0)).count() == 0 and chat.conversation_digests(chat.format_conversations(turns.limit(0))).count() == 0
+    assert [chat.read_once(chat.parse(t)) for t in (framed, twice, "{% if messages %}x{% endif %}", "{% for a in b %}{% for m in messages %}x{% endfor %}{% endfor %}")] == [True, False, False, False]
+
+
 def test_template_language():
     show = lambda t, **v: "".join(x for x, _ in chat.compile_template(t)(v))
     assert show("{% for x in xs %}{% if x.n == 1 %}one{% elif x.n > 2 %}big{% else %}{{ x['n'] }}{% endif %},{% endfor %}{# c #}", xs=[{"n": 1}, {"n": 2}, {"n": 3}]) == "one,2,big,"
