@@ -19,7 +19,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "epoch", "place", "mix_tokens")
+    return mixing.mix(table(spark, sf_dir, "documents"), lengths=2.0).select("doc_id", "source", "epoch", "place", "mix_tokens")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,22 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN part ON id = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id"""
 
 
+_OP3 = """WITH d AS MATERIALIZED (
+  SELECT doc_id, source, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS mix_tokens, md5(coalesce(text, '')) AS h FROM documents
+), sizes AS (SELECT source, sum(mix_tokens)::BIGINT AS tokens FROM d GROUP BY source
+), total AS (SELECT sum(tokens)::BIGINT AS total, count(*) AS n FROM sizes
+), q AS (SELECT k, source, tokens, tokens / total AS p, pow(tokens / total, k / 1024) AS q FROM sizes, total, (SELECT unnest(range(0, 1025)) AS k)
+), g AS (SELECT k, sum(q) AS s, ln(sum(q)) - sum(q * ln(q)) / sum(q) AS h, max(q / p) / sum(q) * 2 AS repeated FROM q GROUP BY k
+), e AS (SELECT coalesce(max(k), 0) AS k FROM g, total WHERE h >= 0.95 * ln(n) - 1e-12
+), x AS (SELECT CASE WHEN (SELECT repeated FROM g JOIN e USING (k)) > 4 THEN least(1024, (SELECT max(g.k) + 1 FROM g, e WHERE g.k >= e.k AND repeated > 4)) ELSE (SELECT k FROM e) END AS k
+), plan AS (
+  SELECT source, quota // tokens AS whole, quota % tokens AS rest FROM (
+    SELECT source, tokens, floor(q / s * (2 * total))::BIGINT AS quota FROM q JOIN x USING (k) JOIN g USING (k), total)
+), last AS (
+  SELECT d.*, whole, rest, md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), whole::VARCHAR, h)) AS place FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+), run AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING) AS sofar FROM last)
+SELECT doc_id, source, whole::INT AS epoch, place, mix_tokens FROM run WHERE sofar <= rest
+UNION ALL SELECT doc_id, source, epoch::INT, md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), epoch::VARCHAR, h)), mix_tokens FROM (SELECT *, unnest(range(0, whole)) AS epoch FROM last)"""
 _NOTICES = ", ".join(f"({i}, '{label}', '{notice.lower()}', '{telling}')" for i, (label, notice, telling) in enumerate(licenses.NOTICES))
 _WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 _OP8 = f"""WITH d AS MATERIALIZED (
@@ -129,4 +145,4 @@ FROM d JOIN b USING (r) LEFT JOIN met USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_neardup": _OP1, "op6_topk": _OP6, "op7_minhash_neardup": _OP7, "op8_license_scan": _OP8}
+    return {"op1_embedding_neardup": _OP1, "op3_mixing": _OP3, "op6_topk": _OP6, "op7_minhash_neardup": _OP7, "op8_license_scan": _OP8}

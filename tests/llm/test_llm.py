@@ -310,6 +310,18 @@ def test_mixing(spark):
     assert 950 <= sum(half.values()) <= 1000 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_holds_quotas_among_equal_rows(spark):
+    rows = [(None, "a\tb\nc", "s", 7)] * 100 + [(None, "a  b c", "s", k % 2) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place int")
+    for budget in (3, 55, 166, 258, 330, 400, 700):
+        got = mixing.mix(docs, budget=budget).collect()
+        assert {r["mix_tokens"] for r in got} == {3} and len(got) == budget // 3, budget
+        assert max(Counter(r["epoch"] for r in got).values()) <= 110
+    assert mixing.tokens_of(F.lit("")) is not None and docs.limit(0).transform(lambda d: mixing.mix(d, budget=5)).count() == 0
+    null = spark.createDataFrame([(1, None, None), (2, "", "s")], "doc_id long, text string, source string")
+    assert sorted((r["doc_id"], r["mix_tokens"]) for r in mixing.mix(null).collect()) == [(1, 1), (2, 1)]
+
+
 PAGE = """<!DOCTYPE html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><div class="cookie-notice">we use</div>
 <article><h1>Head &amp; more</h1><p><b>One  two<br>three<p>Four</p><div class="ad">buy</div><form>f</form><section class="comments">said</section></article><footer>&copy;</footer>"""
 
