@@ -101,6 +101,49 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN part ON id = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id"""
 
 
+_PII = {  # kind: pattern, condition on the match m, place in the order
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS UHUGEINT), 256) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "len(g) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, len(g)), lambda i: CASE WHEN i % 2 = 0 THEN g[len(g) - i]::INT ELSE (2 * g[len(g) - i]::INT) // 10 + (2 * g[len(g) - i]::INT) % 10 END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len(g) BETWEEN 9 AND 15"),
+}
+
+
+def _found(kind: str, i: int) -> str:
+    """Matches with their places: a match begins after all gaps up to it and all matches before it."""
+    pattern, good = _PII[kind]
+    return f"""SELECT r, '{kind}' AS kind, {i} AS ord, s, s + length(m) AS e, m AS v FROM (
+    SELECT r, m, regexp_replace(m, '[^0-9]', '', 'g') AS g, sum(length(gap)) OVER (PARTITION BY r ORDER BY k) + sum(length(m)) OVER (PARTITION BY r ORDER BY k) - length(m) AS s
+    FROM (SELECT r, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(range(0, len(ms))) AS k FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM d)))
+  WHERE {good}"""
+
+
+_OP2 = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), base AS MATERIALIZED ({" UNION ALL ".join(_found(k, i) for i, k in enumerate(_PII))}
+), lists AS (SELECT r, list({{'s': s, 'e': e}}) AS spans FROM base GROUP BY r
+), masked AS MATERIALIZED (
+  SELECT r, t FROM d WHERE r NOT IN (SELECT r FROM base) UNION ALL
+  SELECT r, array_to_string(list_transform(range(0, length(t)), lambda i: CASE WHEN len(list_filter(spans, lambda x: x.s <= i AND i < x.e)) > 0 THEN ' ' ELSE cs[i + 1] END), '') FROM (SELECT r, t, string_split(t, '') AS cs, spans FROM d JOIN lists USING (r))
+), run AS MATERIALIZED (
+  SELECT r, m, lower(m) AS term, sum(length(gap)) OVER (PARTITION BY r ORDER BY k) + sum(length(m)) OVER (PARTITION BY r ORDER BY k) - length(m) AS s
+  FROM (SELECT r, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(range(0, len(ms))) AS k FROM (SELECT r, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS ms, string_split_regex(t, '[\\p{{L}}\\p{{N}}]+') AS gaps FROM masked))
+), word AS (SELECT * FROM run WHERE NOT regexp_full_match(m, '[a-z][a-z]?')
+), holds AS MATERIALIZED (SELECT DISTINCT r, term FROM word
+), entity AS MATERIALIZED (SELECT DISTINCT r, kind || ':' || lower(v) AS ent FROM base
+), de AS (SELECT ent, count(*) AS de FROM entity GROUP BY ent
+), dt AS (SELECT term, count(*) AS dt FROM holds GROUP BY term
+), pairs AS (SELECT ent, term, count(*) AS dj FROM entity JOIN holds USING (r) GROUP BY ALL
+), telling AS (
+  SELECT DISTINCT term FROM pairs JOIN de USING (ent) JOIN dt USING (term), (SELECT count(*) AS n FROM d)
+  WHERE dj / dt >= 0.8 AND log2(n / de) > 0 AND log2(dj / dt * n / de) >= 0.8 * log2(n / de)
+), spans AS (
+  SELECT r, kind, ord, s, e FROM base UNION ALL SELECT r, 'term', 4, s, s + length(m) FROM word JOIN telling USING (term)
+), joined AS (
+  SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) AS spans, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) FILTER (ord < 4), '') AS base,
+    {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PII)} FROM spans GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _PII)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN joined USING (r)"""
+
 _OP3 = """WITH d AS MATERIALIZED (
   SELECT doc_id, source, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS mix_tokens, md5(coalesce(text, '')) AS h FROM documents
 ), sizes AS (SELECT source, sum(mix_tokens)::BIGINT AS tokens FROM d GROUP BY source
@@ -145,4 +188,4 @@ FROM d JOIN b USING (r) LEFT JOIN met USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_neardup": _OP1, "op3_mixing": _OP3, "op6_topk": _OP6, "op7_minhash_neardup": _OP7, "op8_license_scan": _OP8}
+    return {"op1_embedding_neardup": _OP1, "op2_pii": _OP2, "op3_mixing": _OP3, "op6_topk": _OP6, "op7_minhash_neardup": _OP7, "op8_license_scan": _OP8}
