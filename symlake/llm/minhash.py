@@ -11,7 +11,10 @@ less above it.
 
 Scale. Documents with equal sets form one class and only its smallest id goes on, so copies cost
 no pairs. In each bucket, the member with most company is compared with the others; buckets whose
-members are then still in different components get their remaining cross pairs compared. Texts are
+members are then still in different components get their remaining cross pairs compared: small ones
+by a join, those of over SMALL members in cells of two blocks of CELL members, where sizes and
+sketches of the signatures are held against each other and only pairs that pass both come out (a pair
+at the threshold fails to with probability below 1e-8). Texts are
 shipped to the comparison for candidates only, once per group of candidates that hang together, or per
 pair of its blocks where the group is large; no task holds more than two blocks.
 """
@@ -35,6 +38,8 @@ SLOTS = BANDS * BAND_SLOTS
 ID_BUCKETS = 1 << 18
 #: Shingles in a block of candidates that are compared in one task.
 BLOCK_SHINGLES = 500_000
+#: Members of a bucket whose pairs a join makes; members in a block of a larger bucket; tasks that cells are spread over at most.
+SMALL, CELL, PARTITIONS = 64, 1000, 20_000
 _CACHE = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,16 +119,48 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def _sketches(signature: np.ndarray) -> list[bytes]:
+    """Two bytes of hash a slot."""
+    return [row.tobytes() for row in (_mix(np.ascontiguousarray(signature).view(np.uint64)) >> np.uint64(48)).astype("<u2")]
+
+
+def _cell_pairs(percent: int):
+    """The pairs of a cell's two blocks that are in different parts, near enough in size, and agree in so many slots that the similarity may be reached."""
+    p = percent / 100
+    least = SLOTS * (p - 6 * (p * (1 - p) / SLOTS) ** 0.5)
+
+    def run(cell: pa.Table) -> pa.Table:
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        rep, n, part, block = (cell.column(c).to_numpy() for c in ("rep", "n", "part", "block"))
+        sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), "<u2").reshape(len(rep), SLOTS)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = []
+        for k in range(0, len(left), 64):
+            a = left[k : k + 64]
+            good = (part[a][:, None] != part[right]) & (100 * np.minimum(n[a][:, None], n[right]) >= percent * np.maximum(n[a][:, None], n[right]))
+            good &= (rep[a][:, None] < rep[right]) if i == j else True
+            x, y = np.nonzero(good)
+            for m in range(0, len(x), 1 << 16):
+                s, t = a[x[m : m + (1 << 16)]], right[y[m : m + (1 << 16)]]
+                near = (sketch[s] == sketch[t]).sum(axis=1) >= least
+                found.append(np.stack([rep[s[near]], rep[t[near]]]))
+        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(both.min(axis=0), pa.int64()), "b": pa.array(both.max(axis=0), pa.int64())})
+
+    return run
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
 
         def some(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-            keys = _band_keys(super_minhash(sets))
+            signature = super_minhash(sets)
+            keys = _band_keys(signature)
             bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), bands],
-                names=["doc_id", "n_shingles", "set_hash", "bands"],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), bands, pa.array(_sketches(signature), pa.binary())],
+                names=["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
             )
 
         for batch in batches:
@@ -176,6 +213,17 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, p
     return rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, "a long, b long")
 
 
+def _crowded(slots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of large buckets' members (key, rep, n, part, m) that may be similar, cell by cell."""
+    blocks = F.ceil(F.col("m") / CELL).cast("int")
+    cells = int(slots.select("key", blocks.alias("k")).distinct().agg(F.sum(F.col("k") * (F.col("k") + 1) / 2)).first()[0] or 0)
+    if not cells:
+        return slots.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    placed = slots.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).join(sketches, "rep")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "part", "sketch")
+    return spread.repartition(min(2 * cells, PARTITIONS), "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_cell_pairs(percent), "a long, b long")
+
+
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     small, large = (x, y) if len(x) < len(y) else (y, x)
     if not len(small) or 100 * len(small) < percent * len(large):
@@ -197,9 +245,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_hash binary, bands array<long>"))
+    signed = cut(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"))
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
+    classes = cut(usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")))
     slots = classes.select(F.explode("bands").alias("key"), "rep", "n")
     shared = slots.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     slots = cut(slots.join(shared, "key"))
@@ -214,12 +262,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = cut(_verified(first, sizes, docs, width, percent))
     grouped = connected_components(links, "a", "b")
     slots = slots.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    split = slots.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
-    slots = cut(slots.join(split, "key", "left_semi"))
-    left, right = (slots.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "part"))) for s in "ab")
+    split = slots.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).filter("p <> q").select("key", "m")
+    slots = cut(slots.join(split, "key"))
+    few = slots.filter(F.col("m") <= SMALL)
+    left, right = (few.select("key", *(F.col(c).alias(c + s) for c in ("rep", "n", "part"))) for s in "ab")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = cut(
-        left.join(right, "key").filter("repa < repb and parta <> partb").filter(sized).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+        left.join(right, "key").filter("repa < repb and parta <> partb").filter(sized).select(F.col("repa").alias("a"), F.col("repb").alias("b"))
+        .unionByName(_crowded(slots.filter(F.col("m") > SMALL), classes.select("rep", "sketch"), percent)).distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
     links = links.unionByName(cut(_verified(second, sizes, docs, width, percent)))
