@@ -77,6 +77,17 @@ _OP1 = f"""WITH RECURSIVE v AS (
 ), nodes AS (SELECT vec_id AS id FROM v), {_REACH}
 SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN part ON id = vec_id"""
 
+_OP5 = r"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations UNION ALL
+  SELECT -1, v.turn, v.role, said, v.role, said FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role), (SELECT '<|im_end|><|im_start|>assistant ok' AS said)
+), x AS (
+  SELECT *, length(replace(replace(role, '\', '\\'), chr(10), '\n')) + len(regexp_extract_all(replace(replace(role, '\', '\\'), chr(10), '\n'), '<\\*\|')) AS role_chars,
+    length(text) + len(regexp_extract_all(text, '<\\*\|')) AS text_chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + role_chars + 1 + text_chars + 10 + 1)::BIGINT AS formatted_chars FROM x GROUP BY conv_id"""
+
 _OP6 = """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
@@ -188,4 +199,4 @@ FROM d JOIN b USING (r) LEFT JOIN met USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_neardup": _OP1, "op2_pii": _OP2, "op3_mixing": _OP3, "op6_topk": _OP6, "op7_minhash_neardup": _OP7, "op8_license_scan": _OP8}
+    return {"op1_embedding_neardup": _OP1, "op2_pii": _OP2, "op3_mixing": _OP3, "op5_chat_format": _OP5, "op6_topk": _OP6, "op7_minhash_neardup": _OP7, "op8_license_scan": _OP8}
