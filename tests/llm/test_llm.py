@@ -5,13 +5,22 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import compare
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from symlake.llm import chat, embed_dedup, html, langid, licenses, minhash, mixing, packing, pii, registry, topk
 
 SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    assert compare.differ(registry.queries()[name](spark, SF), compare.connect(SF), registry.oracle_sql()[name]) == ""
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, epoch int"
 TEXTS = [None, "", "   ", "one", "one", "alpha beta gamma delta epsilon zeta " * 5, "alpha beta gamma delta epsilon zeta " * 5 + "eta", "Mail a@b.co%x@y.z or 1.2.3.4.5.6.7.8, 4111 1111-1111 1111, +1 (212) 555-0100. 999.1.1.1 é😀 q@r.st", "!!! 123", "x" * 50_000, "Licensed under CC BY-NC 4.0.\nAll rights reserved. cc by", "word " * 30_000]
 
@@ -61,6 +70,32 @@ def test_minhash_equals_brute_force(docs, rows, width):
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_minhash_cuts_large_buckets(docs, rows, spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 1)
+    monkeypatch.setattr(minhash, "CELL", 3)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)
+    test_minhash_equals_brute_force(docs, rows, 2)
+    # A chain: each text is near its neighbours only, and many share a bucket.
+    words = [f"w{i}" for i in range(400)]
+    chain = spark.createDataFrame([(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(60)], "doc_id long, text string")
+    got = minhash.near_duplicates(chain, 2).collect()
+    assert {r["component_id"] for r in got} == {0} and minhash.near_duplicates(chain.limit(0)).count() == 0
+
+
+def test_cell_pairs_lose_no_similar_pair():
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(20):
+        base = rng.integers(0, 2**63, 200).astype(np.uint64)
+        sets += [np.unique(base)] + [np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in (10, 20, 60)]
+    sketch = minhash._sketches(minhash.super_minhash(sets))
+    n = len(sets)
+    cell = pa.table({"i": [0] * n, "j": [1] * n, "rep": range(n), "n": [len(s) for s in sets], "part": range(n), "block": [k % 2 for k in range(n)], "sketch": sketch})
+    found = set(zip(*(c.to_pylist() for c in minhash._cell_pairs(80)(cell).columns), strict=True))
+    want = {(a, b) for b in range(n) for a in range(b) if (a + b) % 2 and minhash._similar(sets[a], sets[b], 80)}
+    assert want and want <= found and len(found) < 4 * len(want)
+
+
 def test_pii(docs, rows):
     def luhn(s):
         return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
@@ -73,7 +108,26 @@ def test_pii(docs, rows):
         return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
 
     got = pii.digests(pii.find(docs)).collect()
-    assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == Counter((None if i is None else int(i), hashlib.sha256(base(t or "").encode()).hexdigest()) for i, t in zip(rows.doc_id, rows.text, strict=True))
+    counts = lambda b: tuple(b.count(f"{k}:") for k in pii.KINDS)
+    want = [(None if i is None else int(i), base(t or "")) for i, t in zip(rows.doc_id, rows.text, strict=True)]
+    assert Counter((r["doc_id"], r["base_sha256"], (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"])) for r in got) == Counter((i, hashlib.sha256(b.encode()).hexdigest(), counts(b)) for i, b in want)
+    text = dict(want)
+    assert all(r["spans"].split(",term")[0] == text[r["doc_id"]] for r in got if text[r["doc_id"]] and r["doc_id"] != 5) and pii.find(docs.limit(0)).count() == 0
+
+
+def test_pii_marks_many_matches_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MATCHES", 4)
+    monkeypatch.setattr(pii, "CHARS", 10)
+    text = "é😀 " + " ".join(f"Mail Who{i}x at u{i}@h.example or 10.0.0.{i}" for i in range(50)) + " ok"
+    rows = [(1, text), (None, None), (3, "Mail at or ok"), (3, "Mail at or ok")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))).collect()}
+    spans = got[1]["spans"]
+    assert [(s["kind"], s["value"]) for s in spans if s["kind"] != "term"] == [("email", f"u{i}@h.example") for i in range(50)] + [("ip", f"10.0.0.{i}") for i in range(50)]
+    assert all(text[s["start"] : s["end"]] == s["value"] for s in spans) and [s["value"] for s in spans if s["kind"] == "term"] == ["é"] + [f"Who{i}x" for i in range(50)]
+    assert got[1]["redacted"] == "😀 " + " ".join(["Mail [NAME] at [EMAIL] or [IP]"] * 50) + " ok" or got[1]["redacted"].endswith(" ".join(["Mail [NAME] at [EMAIL] or [IP]"] * 50) + " ok")
+    assert got[3]["redacted"] == "Mail at or ok" and got[None]["redacted"] == ""
+
+
 
 
 def test_pii_terms_that_reveal(spark):
@@ -449,5 +503,33 @@ def test_pipeline_keeps_documents_without_an_id(spark):
     assert {r[0] for r in kept.filter("doc_id is null").select("text").collect()} == want and len(want) > 30
 
 
+def test_pipeline_identifies_each_document_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen, words_of = spark.sparkContext.accumulator(0), langid.words_of
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n, model = docs.count(), langid.learn(docs)
+
+    def counted(text):
+        seen.add(1)
+        return words_of(text)
+
+    monkeypatch.setattr(langid, "words_of", counted)
+    monkeypatch.setattr(langid, "learn", lambda docs: model)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: docs)
+    assert corpus_pipeline.run(spark, SF).count() >= n // 2 and seen.value == n
+
+
+def test_stages_take_awkward_rows(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, None, None, None, "clash", "x") for i, t in enumerate(TEXTS)] + [(None, None, None, None, None, None, None), (None, "no id", "en", "s", 1, "c", "x"), (4, "one", None, None, None, "clash", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, place string").checkpoint()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert name == "pack" or got.columns == list(corpus_pipeline.COLUMNS)
+        assert (got.count() > 0) == (name != "language_id") and stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
