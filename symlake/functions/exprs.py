@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from symlake.model import ACCESS, ACCESS_MASK, CALLABLE, CANONICAL, DECL, DECLARED_CANONICAL, DEF, PROPERTIES, ROLES, UNDEFINITION
+from symlake.model import ACCESS, ACCESS_MASK, CALLABLE, CANONICAL, DECL, DECLARED_CANONICAL, DEF, PROPERTIES, RAW_KINDS, RAW_LANGUAGES, RAW_SUB_KINDS, ROLES, UNDEFINITION
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,22 +74,32 @@ def matches(x: Column | str, pattern: str, anchor_start: bool = False, anchor_en
     return text.contains(pattern)
 
 
-_SHORT = dict(zip(ROLES, "Decl Def Ref Read Writ Call Dyn Addr Impl RelChild RelBase RelOver RelRec RelCall RelExt RelAcc RelCont RelIBType RelSpecialization".split(), strict=True))
+_WORDS = {
+    "brackets": "decl def ref read write call dyn addrOf implicit childOf baseOf overrideOf recBy calledBy extendedBy accOf contBy ibTypeOf specializationOf",
+    "raw": "declaration definition reference read write call dynamic addressOf implicit childOf baseOf overrideOf receivedBy calledBy extendedBy accessorOf containedBy ibTypeOf specializationOf",
+    "short": "Decl Def Ref Read Writ Call Dyn Addr Impl RelChild RelBase RelOver RelRec RelCall RelExt RelAcc RelCont RelIBType RelSpecializationOf",
+}
+
+
+def role_words(style: str) -> dict[int, str]:
+    """The bits that a vocabulary names, in its order."""
+    words = dict(zip(ROLES.values(), _WORDS[style].split(), strict=True))
+    if style == "raw":  # the only one that knows undefinitions; they stand after implicit ones
+        items = list(words.items())
+        at = items.index((ROLES["implicit"], "implicit")) + 1
+        words = dict([*items[:at], (UNDEFINITION, "undefinition"), *items[at:]])
+    return words | ({CANONICAL: "canon"} if style == "brackets" else {})
 
 
 def role_text(roles: Column | str, style: str = "brackets") -> Column:
-    """A role set in words: 'brackets' [a|b], 'raw' declaration, definition, or 'short' Decl,Def. Bits without a name stand last in brackets."""
-    r = col(roles)
-    if style == "raw":
-        words = dict(zip(ROLES.values(), "declaration definition reference read write call dynamic addressOf implicit childOf baseOf overrideOf receivedBy calledBy extendedBy accessorOf containedBy ibTypeOf specializationOf".split(), strict=True)) | {UNDEFINITION: "undefinition"}
-        return F.array_join(F.array_compact(F.array(*(F.when(r.bitwiseAND(F.lit(bit)) != 0, F.lit(n)) for bit, n in words.items()))), ", ")
-    names = {bit: _SHORT[n] if style == "short" else n for n, bit in ROLES.items()} | {CANONICAL: "Canon" if style == "short" else "canonical"}
-    parts = [F.when(r.bitwiseAND(F.lit(bit)) != 0, F.lit(n)) for bit, n in names.items()]
+    """A role set in words: 'brackets' [a|b], 'raw' a, b or 'short' A,B. Only brackets show bits without a name, as a number."""
+    r, words = col(roles), role_words(style)
+    parts = [F.when(r.bitwiseAND(F.lit(bit)) != 0, F.lit(n)) for bit, n in words.items()]
     if style != "brackets":
         return F.array_join(F.array_compact(F.array(*parts)), "," if style == "short" else ", ")
     rest = r.bitwiseAND(F.bitwise_not(F.lit(sum(ROLES.values()) | CANONICAL)))
-    # The closing bracket of an unknown remainder is lost, as the last character always is.
-    parts.append(F.when(rest != 0, F.concat(F.lit("<unknown roles "), rest.cast("string"))))
+    # The last sign before the bracket is dropped as if it were a separator, also behind a number.
+    parts.append(F.when(rest != 0, F.concat(F.lit("<<unknown roles "), rest.cast("string"), F.lit(">"))))
     return F.concat(F.lit("["), F.array_join(F.array_compact(F.array(*parts)), "|"), F.lit("]"))
 
 
@@ -118,6 +128,49 @@ def property_components(p: Column | str) -> Column:
     return F.array_compact(F.array(*parts))
 
 
+_PROPERTY_WORDS = dict(zip(PROPERTIES, "gen tps ts test ib ib_coll gki local protocol swift_async".split(), strict=True)) | {"lessThanFilePrivate": "less_than_fileprivate"}
+
+
+def property_text(p: Column | str) -> Column:
+    """[a|b]: the flags in short, the access level, and what is left as a number."""
+    unknown = lambda x: F.concat(F.lit("<<unknown properties "), x, F.lit(">>"))
+    word = lambda x: F.when(x.startswith("access:"), unknown(F.substring(x, 8, 20))).when(x.rlike("^-?[0-9]+$"), unknown(x)).otherwise(F.coalesce(F.element_at(names, x), x))
+    names = F.create_map(*[F.lit(x) for pair in _PROPERTY_WORDS.items() for x in pair])
+    return F.concat(F.lit("["), F.array_join(F.transform(property_components(p), word), "|"), F.lit("]"))
+
+
+def kind_text(kind: Column | str) -> Column:
+    """A kind with a hyphen between its words."""
+    words = {"enumConstant": "enumerator", "conversionFunction": "conversion-func", "typealias": "typealias"}
+    out = F.lower(F.regexp_replace(col(kind), "([a-z])([A-Z])", "$1-$2"))
+    for k, text in words.items():
+        out = F.when(col(kind) == k, F.lit(text)).otherwise(out)
+    return out
+
+
+def coded(x: Column | str, table: dict[int, str], otherwise: str) -> Column:
+    """The name of a raw code; codes that the table doesn't hold are `otherwise`."""
+    names = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    return F.coalesce(F.try_element_at(names, col(x).cast("int")), F.lit(otherwise))
+
+
+def kind_of(raw: Column | str) -> Column:
+    return coded(raw, RAW_KINDS, "unknown")
+
+
+def sub_kind_of(raw: Column | str) -> Column:
+    return coded(raw, RAW_SUB_KINDS, "none")
+
+
+def language_of(raw: Column | str) -> Column:
+    return coded(raw, RAW_LANGUAGES, "c")
+
+
+def decoded(x: Column | str) -> Column:
+    """Bytes as text; what isn't UTF-8 becomes the replacement sign."""
+    return F.make_valid_utf8(col(x).cast("string"))
+
+
 def parent_dir(path: Column | str) -> Column:
     return F.when(col(path).contains("/"), F.regexp_replace(F.regexp_extract(col(path), r"(?s)\A(.*)/[^/]*\z", 1), r"\A\z", "/")).otherwise(F.lit(""))
 
@@ -145,11 +198,11 @@ def absolute(path: Column | str, work_dir: Column | str) -> Column:
 
 
 def map_prefixes(path: Column | str, mappings: list[tuple[str, str]]) -> Column:
-    """The first mapping whose prefix fits is applied."""
+    """The first mapping whose prefix fits is applied; separators at the ends of prefixes don't count."""
     out, p = None, col(path)
     for old, new in mappings:
         fits = (p == old) | p.startswith(old.rstrip("/") + "/")
-        to = F.concat(F.lit(new), F.substring(p, F.lit(len(old.rstrip("/")) + 1), F.length(p)))
+        to = F.concat(F.lit(new.rstrip("/")), F.substring(p, F.lit(len(old.rstrip("/")) + 1), F.length(p)))
         out = F.when(fits, to) if out is None else out.when(fits, to)
     return p if out is None else out.otherwise(p)
 

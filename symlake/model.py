@@ -20,8 +20,9 @@ CALLABLE = ("function", "instanceMethod", "classMethod", "staticMethod", "constr
 DECLARED_CANONICAL = ("class", "extension", "instanceProperty", "classProperty")
 #: Symbol kinds that can be searched by kind; the importer files C++ structs under class.
 KIND_BUCKETS = ("class", "protocol", "function", "struct", "union", "enum", "typealias", "variable", "commentTag", "concept")
-#: Raw enumerations that have no counterpart in the model.
+#: Codes of the raw store. What isn't here (using declarations, the read and modify accessors) has no counterpart: it becomes unknown, none, or the language C.
 RAW_KINDS = {0: "unknown", 1: "module", 2: "namespace", 3: "namespaceAlias", 4: "macro", 5: "enum", 6: "struct", 7: "class", 8: "protocol", 9: "extension", 10: "union", 11: "typealias", 12: "function", 13: "variable", 14: "field", 15: "enumConstant", 16: "instanceMethod", 17: "classMethod", 18: "staticMethod", 19: "instanceProperty", 20: "classProperty", 21: "staticProperty", 22: "constructor", 23: "destructor", 24: "conversionFunction", 25: "parameter", 27: "concept", 1000: "commentTag"}
+RAW_SUB_KINDS = {1: "cxxCopyConstructor", 2: "cxxMoveConstructor", 3: "accessorGetter", 4: "accessorSetter"} | dict(enumerate("swiftAccessorWillSet swiftAccessorDidSet swiftAccessorAddressor swiftAccessorMutableAddressor swiftExtensionOfStruct swiftExtensionOfClass swiftExtensionOfEnum swiftExtensionOfProtocol swiftPrefixOperator swiftPostfixOperator swiftInfixOperator swiftSubscript swiftAssociatedType swiftGenericTypeParam".split(), 1000))
 RAW_LANGUAGES = {0: "c", 1: "objc", 2: "cxx", 100: "swift"}
 
 
@@ -40,4 +41,8 @@ SCHEMAS = {
     "record_symbols": _struct("record_name string, usr string, name string, kind string, sub_kind string, properties long, language string, codegen_name string, roles long, related_roles long"),
     "occurrences": _struct("record_name string, ord int, line int, col int, usr string, roles long, relations relations"),
 }
+#: Of a store: files once seen, what was told to delegates, triggers of units that are out of date.
+FILES = _struct("path string")
+TOLD = _struct("snapshot long, ord int, kind string, n long, unit_name string, main_file string, out_file string, mod_time_ns long, trigger_path string, trigger_ns long, synchronous boolean")
+TRIGGERS = _struct("unit_name string, path string, trigger_ns long")
 EVENTS = _struct("seq long, kind string, unit_name string, is_initial boolean, is_dependency boolean, ignore_mod_time boolean")

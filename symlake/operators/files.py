@@ -72,8 +72,9 @@ def files_of_unit(ix: CodeIndex, units: Sequence[str], follow_dependencies: bool
 
 
 def all_files(ix: CodeIndex) -> DataFrame:
-    """(path, dir, file): files of records and files, those of removed units' snapshots included by whoever keeps them."""
-    return ix.unit_deps.filter(F.col("kind").isin("record", "file")).select("path").distinct().select("path", parent_dir("path").alias("dir"), base_name("path").alias("file"))
+    """(path, dir, file): files of records and files; a store keeps those of removed units."""
+    known = ix.unit_deps.filter(F.col("kind").isin("record", "file")).select("path") if ix.files is None else ix.files
+    return known.distinct().select("path", parent_dir("path").alias("dir"), base_name("path").alias("file"))
 
 
 def files_matching(ix: CodeIndex, pattern: str, **how: bool) -> DataFrame:
@@ -101,15 +102,14 @@ def unit_time_by_output(ix: CodeIndex, outputs: Sequence[str]) -> DataFrame:
 
 
 def out_of_date(ix: CodeIndex, now_ns: int, dirty: DataFrame | None = None) -> DataFrame:
-    """(unit_name, out_file, file_time_ns): units with a newer file. Missing files count as changed now.
+    """(unit_name, out_file, file_time_ns): units with a newer file. Files without a time aren't there: they count as changed now.
 
     dirty (path) restricts the files that are looked at.
     """
-    stats = ix.file_stats
     deps = ix.unit_deps.filter(F.col("kind").isin("record", "file")).select("unit_name", "path").distinct()
     if dirty is not None:
         deps = deps.join(dirty.select("path").distinct(), "path", "left_semi")
-    times = deps.join(stats.select("path", "mtime_ns"), "path").groupBy("unit_name").agg(F.max(F.coalesce("mtime_ns", F.lit(now_ns))).alias("file_time_ns"))
+    times = deps.join(ix.file_stats.select("path", "mtime_ns"), "path", "left").groupBy("unit_name").agg(F.max(F.coalesce("mtime_ns", F.lit(now_ns))).alias("file_time_ns"))
     return ix.units.join(times, "unit_name").filter("file_time_ns > mod_time_ns").select("unit_name", "out_file", "file_time_ns")
 
 
@@ -119,6 +119,20 @@ def is_out_of_date(ix: CodeIndex, output: str, mod_time_ns: int) -> bool:
     return row[0] is None or mod_time_ns > row[0]
 
 
+def outputs_out_of_date(ix: CodeIndex, outputs: Sequence[str], dirty: Sequence[str], now_ns: int) -> DataFrame:
+    """(out_file, out_of_date) for each output, against the newest of the dirty files; a file that isn't there is changed now, an unknown unit out of date."""
+    asked = ix.spark.createDataFrame([(o,) for o in outputs], "out_file string").distinct()
+    files = ix.spark.createDataFrame([(d,) for d in dirty], "path string").join(ix.file_stats.select("path", "mtime_ns"), "path", "left")
+    newest = files.agg(F.max(F.coalesce("mtime_ns", F.lit(now_ns)))).first()[0]
+    known = asked.join(ix.units.groupBy("out_file").agg(F.max("mod_time_ns").alias("t")), "out_file", "left")
+    return known.select("out_file", (F.col("t").isNull() | F.coalesce(F.lit(newest) > F.col("t"), F.lit(False))).alias("out_of_date"))
+
+
+def unit_test_usrs(ix: CodeIndex) -> DataFrame:
+    """(usr): symbols that are searched for as test classes, extensions or methods."""
+    return ix.symbol_kinds().filter(F.col("bucket").isin("testClassOrExtension", "testMethod")).select("usr").distinct()
+
+
 def out_of_date_closure(ix: CodeIndex, triggers: DataFrame) -> DataFrame:
     """(unit_name, trigger_ns, notify): from triggers (unit_name, trigger_ns) to all dependents that are older, step by step.
 

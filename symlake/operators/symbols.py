@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from symlake.functions.exprs import any_of, is_callable, matches
@@ -27,7 +27,14 @@ def located(ix: CodeIndex, occurrences: DataFrame, refs: DataFrame | None = None
 
 
 def occurrences_of(ix: CodeIndex, usrs: Keys, roles: int) -> DataFrame:
-    return located(ix, keyed(ix.occurrences, "usr", usrs).filter(any_of("roles", roles)))
+    found = keyed(ix.occurrences, "usr", usrs).filter(any_of("roles", roles))
+    return located(ix, found) if isinstance(usrs, DataFrame) else _looked_up(ix, found)
+
+
+def _looked_up(ix: CodeIndex, found: DataFrame) -> DataFrame:
+    """located() for a lookup of a few keys: what is found is fixed first, so that only its records' files are put together."""
+    found = checkpoint(found)
+    return located(ix, found, ix.file_refs(records=found))
 
 
 def occurrences_related_to(ix: CodeIndex, usrs: Sequence[str], roles: int, strict: bool = False) -> DataFrame:
@@ -40,7 +47,7 @@ def occurrences_related_to(ix: CodeIndex, usrs: Sequence[str], roles: int, stric
     related = ix.occurrences.filter(F.exists("relations", relates))
     # Records in which no relation to the symbol has the roles are passed over as a whole.
     records = related.filter(F.exists("relations", lambda r: r["usr"].isin(wanted) & any_of(r["roles"], roles))).select("record_name").distinct()
-    return located(ix, related.filter(any_of("roles", roles)).join(records, "record_name", "left_semi"))
+    return _looked_up(ix, related.filter(any_of("roles", roles)).join(records, "record_name", "left_semi"))
 
 
 def canonical(ix: CodeIndex, usrs: DataFrame | None = None, before_visibility: bool = False, workspace_only: bool = False) -> DataFrame:
@@ -155,6 +162,37 @@ def base_hierarchy(ix: CodeIndex, usrs: Sequence[str]) -> DataFrame:
     return closure(seeds, checkpoint(edges)).filter("seed <> node").select("seed", F.col("node").alias("usr"))
 
 
+def with_fields(found: DataFrame, **fields: object) -> DataFrame:
+    """Symbols (or occurrences) as they are but for the fields given: columns, or values for all."""
+    unknown = set(fields) - set(found.columns)
+    if unknown:
+        raise ValueError(f"there is no field {sorted(unknown)[0]}")
+    return found.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()})
+
+
+def at_location(found: DataFrame, path: Column | str, line: Column | int, col: Column | int, roles: Column | int) -> DataFrame:
+    """An occurrence of each symbol at a place."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    none = F.array().cast("array<struct<usr: string, roles: bigint>>")
+    return found.withColumns({"path": lit(path), "line": lit(line), "col": lit(col), "roles": lit(roles).cast("long"), "relations": none})
+
+
+def each(found: DataFrame, receiver: Callable[[Row], bool]) -> bool:
+    """Hands rows to receiver, partition by partition, until it returns False; whether it never did."""
+    return all(receiver(row) is not False for row in found.toLocalIterator())
+
+
+def calls_of(ix: CodeIndex, callees: Sequence[str]) -> DataFrame:
+    """call_occurrences() of several symbols, with a column callee. Each is a plan of its own: for a handful."""
+    out = None
+    for c in dict.fromkeys(callees):
+        found = call_occurrences(ix, c).withColumn("callee", F.lit(c))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no callee is given")
+    return out
+
+
 def call_occurrences(ix: CodeIndex, callee: str, record_name: str | None = None) -> DataFrame:
     """Calls of a callable symbol, with those that dispatch to it dynamically.
 
@@ -176,14 +214,18 @@ def call_occurrences(ix: CodeIndex, callee: str, record_name: str | None = None)
     wanted = RECEIVED_BY if roles & CALL else CHILD_OF
     # A callee has a handful of receiver classes: those of one occurrence.
     classes = sorted(r["usr"] for r in first[0]["relations"] if r["roles"] & wanted)
-    of_kind = {r["usr"]: r["kind"] for r in ix.record_symbols.filter(F.col("usr").isin(classes)).groupBy("usr").agg(F.min("kind").alias("kind")).collect()} if classes else {}
+
+    def kinds_of(usrs: list[str]) -> dict[str, str]:
+        return {r["usr"]: r["kind"] for r in ix.record_symbols.filter(F.col("usr").isin(usrs)).groupBy("usr").agg(F.min("kind").alias("kind")).collect()} if usrs else {}
+
+    of_kind = kinds_of(classes)
     for i, usr in enumerate(classes):
         if of_kind.get(usr) == "extension":
             extended = occurrences_related_to(ix, [usr], EXTENDED_BY).select(F.min("usr")).first()[0]
             classes[i] = extended or usr
     if not classes:
         return direct
-    if of_kind.get(classes[0]) == "protocol":
+    if kinds_of(classes[:1]).get(classes[0]) == "protocol":
         return direct.unionByName(occurrences_of(ix, related_closure(ix, [callee], OVERRIDE_OF).select("usr"), CALL))
     known = base_hierarchy(ix, classes).select("usr").unionByName(ix.spark.createDataFrame([(c,) for c in classes], "usr string")).distinct()
     calls = occurrences_of(ix, base_hierarchy(ix, [callee]).select("usr"), CALL).filter(any_of("roles", DYNAMIC))

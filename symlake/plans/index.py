@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's shared folder; a temporary one only where none is named."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        context, shared = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="symlake-checkpoints-"))
     return df.checkpoint(eager=True)
 
@@ -52,6 +57,8 @@ class CodeIndex:
     occurrences: DataFrame
     file_stats: DataFrame | None = None
     visible: DataFrame | None = None
+    #: (path) of all files ever imported; None: those of the units that are there.
+    files: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -96,16 +103,19 @@ class CodeIndex:
 
     # Shared frames
 
-    def file_refs(self, units: DataFrame | None = None) -> DataFrame:
+    def file_refs(self, units: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
         """The files of each record among the visible units: the latest unit of a file wins; module and system flag stay those of its first unit.
 
         One aggregation with map-side combine: a record shared by very many units is no large group.
+        records (record_name) are the only ones that are asked for, if given.
         """
         units = self.visible_units() if units is None else units
         wins = F.struct((-F.col("mod_time_ns")).alias("t"), F.col("unit_name"))
+        deps = self.unit_deps.filter("kind = 'record'").select(F.col("name").alias("record_name"), "path", "unit_name", F.col("module_name").alias("m"), F.col("is_system").alias("s"))
+        if records is not None:
+            deps = deps.join(records.select("record_name").distinct(), "record_name", "left_semi")
         return (
-            self.unit_deps.filter("kind = 'record'").select(F.col("name").alias("record_name"), "path", "unit_name", F.col("module_name").alias("m"), F.col("is_system").alias("s"))
-            .join(units.select("unit_name", "mod_time_ns", "target", "sysroot", "provider_kind"), "unit_name")
+            deps.join(units.select("unit_name", "mod_time_ns", "target", "sysroot", "provider_kind"), "unit_name")
             .groupBy("record_name", "path")
             .agg(F.min_by(F.struct("unit_name", "mod_time_ns", "target", "sysroot", "provider_kind"), wins).alias("w"), F.min_by(F.struct("m", "s"), F.col("unit_name")).alias("first"))
             .select("record_name", "path", "w.unit_name", "w.mod_time_ns", F.col("first.m").alias("module_name"), F.col("first.s").alias("is_system"), "w.target", "w.sysroot", "w.provider_kind")
@@ -123,3 +133,32 @@ class CodeIndex:
         test = (F.col("properties").bitwiseAND(F.lit(UNIT_TEST)) != 0) & (F.col("roles").bitwiseAND(F.lit(DEF)) != 0)
         tests = F.when(test & F.col("kind").isin("class", "extension"), F.lit("testClassOrExtension")).when(test & (F.col("kind") == "instanceMethod"), F.lit("testMethod"))
         return s.select(F.explode(F.array_compact(F.array(kind, tests))).alias("bucket"), "usr").distinct()
+
+
+@dataclass(frozen=True)
+class Visibility:
+    """What is registered to be visible: main files with a count of registrations, or, if explicit, output files. Edits give a new value."""
+
+    main_files: tuple[tuple[str, int], ...] = ()
+    out_files: frozenset[str] = frozenset()
+    explicit: bool = False
+
+    def register_main_files(self, paths: Iterable[str], product: str = "") -> Visibility:
+        """One registration more for each path; product has no effect."""
+        return replace(self, main_files=tuple(sorted((Counter(dict(self.main_files)) + Counter(paths)).items())))
+
+    def unregister_main_files(self, paths: Iterable[str], product: str = "") -> Visibility:
+        """One registration less; a path stays while some are left, and unknown ones are passed over."""
+        return replace(self, main_files=tuple(sorted((Counter(dict(self.main_files)) - Counter(paths)).items())))
+
+    def add_outputs(self, paths: Iterable[str]) -> Visibility:
+        return replace(self, out_files=self.out_files | set(paths))
+
+    def remove_outputs(self, paths: Iterable[str]) -> Visibility:
+        return replace(self, out_files=self.out_files - set(paths))
+
+    def apply(self, ix: CodeIndex) -> CodeIndex:
+        """The index as it is seen: explicit outputs only if explicit, else registered main files, else everything."""
+        if self.explicit:
+            return ix.show_outputs(sorted(self.out_files))
+        return ix.show_main_files([p for p, _ in self.main_files]) if self.main_files else replace(ix, visible=None)

@@ -26,14 +26,16 @@ VIEWS = {
       cast(case when p_size % 7 = 0 then 8 else 0 end + case when p_size % 2 = 0 then 393216 else 0 end as bigint) as properties from part""",
     "m_raw": """select concat('rec-', cast(l_orderkey as string)) as record_name, l_partkey, l_linenumber as line, cast(l_quantity as int) as col,
       cast(case l_returnflag when 'A' then 2 when 'R' then 1 else 36 end + case when l_linestatus = 'F' then 64 else 0 end as bigint) as own,
-      concat('s:s', cast(l_suppkey as string)) as rel_usr, cast(case l_returnflag when 'N' then 73728 else 512 end as bigint) as rel_roles,
-      case when l_linenumber % 2 = 1 and l_returnflag = 'A' then concat('s:p', cast(l_partkey DIV 2 as string)) when l_linenumber % 2 = 1 and l_returnflag = 'R' then concat('s:p', cast(l_partkey + 1 as string)) end as rel2_usr,
-      cast(case when l_linenumber % 2 = 1 and l_returnflag = 'A' then 2048 when l_linenumber % 2 = 1 and l_returnflag = 'R' then 1024 else 0 end as bigint) as rel2_roles from lineitem""",
+      concat(case when l_linenumber % 4 = 3 then 's:p' else 's:s' end, cast(l_suppkey as string)) as rel_usr, cast(case l_returnflag when 'N' then case when l_linenumber % 4 = 3 then 77824 else 73728 end else 512 end as bigint) as rel_roles,
+      case when l_linenumber % 2 = 1 and l_returnflag = 'A' then concat('s:p', cast(l_partkey DIV 2 as string)) when l_linenumber % 2 = 1 and l_returnflag = 'R' then concat('s:p', cast(l_partkey + 1 as string)) when l_linenumber = 4 then concat('s:p', cast(l_partkey % 40 as string)) end as rel2_usr,
+      cast(case when l_linenumber % 2 = 1 and l_returnflag = 'A' then 2048 when l_linenumber % 2 = 1 and l_returnflag = 'R' then 1024 when l_linenumber = 4 then 16384 else 0 end as bigint) as rel2_roles from lineitem""",
     "m_occ": f"""select record_name, usr, line, col, rel_usr, rel_roles, rel2_usr, rel2_roles,
       own | rel_roles | rel2_roles | case when (own & case when language = 'objc' and kind in ('class', 'extension') then 1 else 2 end) <> 0 then {_CANON} else 0 end as roles
       from m_raw join m_sym on l_partkey = p_partkey""",
     "m_recsym": """select o.record_name, o.usr, min(s.name) as name, min(s.kind) as kind, min(s.language) as language, min(s.properties) as properties, bit_or(o.roles) as roles
       from m_occ o join m_sym s on s.usr = o.usr group by o.record_name, o.usr""",
+    "m_rel": """select record_name, usr, bit_or(roles) as related_roles from (select record_name, rel_usr as usr, rel_roles as roles from m_occ union all
+      select record_name, rel2_usr, rel2_roles from m_occ where rel2_usr is not null) group by record_name, usr""",
     "m_inc": """select u.unit_name, u.src as source_path, concat('/inc/h', cast(l.l_suppkey as string), '.h') as target_path, l.l_linenumber as line from lineitem l join m_units u on u.k = l.l_orderkey""",
     "m_stats": "select concat('/src/c', cast(user_id as string), '.swift') as path, max(DAYS(ts)) * 86400000000000 as mtime_ns from events group by user_id",
 }
@@ -65,5 +67,6 @@ def load(spark: SparkSession, sf_dir: str) -> CodeIndex:
     occurrences = frames["m_occ"].select(
         "record_name", F.col("line").alias("ord"), "line", "col", "usr", "roles", F.array_compact(F.array(relation("rel"), F.when(F.col("rel2_usr").isNotNull(), relation("rel2")))).alias("relations")
     )
-    symbols = frames["m_recsym"].select("record_name", "usr", "name", "kind", F.lit("none").alias("sub_kind"), "properties", "language", F.lit("").alias("codegen_name"), "roles", F.lit(0).cast("long").alias("related_roles"))
+    symbols = frames["m_recsym"].select("record_name", "usr", "name", "kind", F.lit("none").alias("sub_kind"), "properties", "language", F.lit("").alias("codegen_name"), "roles")
+    symbols = symbols.join(frames["m_rel"], ["record_name", "usr"], "left").withColumn("related_roles", F.coalesce("related_roles", F.lit(0).cast("long")))
     return CodeIndex(units, frames["m_deps"], frames["m_inc"].withColumn("ord", F.col("line")), symbols, occurrences, frames["m_stats"])
