@@ -29,9 +29,10 @@ def _newer(found: DataFrame, known: DataFrame) -> DataFrame:
     return latest.join(old, ["unit_name", "path"], "left").filter("known is null or trigger_ns > known").select("unit_name", "path", "trigger_ns")
 
 
-def _renamed(df: DataFrame) -> DataFrame:
-    """df under new attributes: a union of frames that are on the other side of a join too."""
-    return df.select(*(F.col(c).alias(c) for c in df.columns))
+def _with(known: DataFrame, new: DataFrame) -> DataFrame:
+    """The triggers known, with new ones: the later of each unit and file."""
+    later = F.greatest("trigger_ns", "t_").alias("trigger_ns")
+    return known.join(new.withColumnRenamed("trigger_ns", "t_"), ["unit_name", "path"], "full").select("unit_name", "path", later)
 
 
 def mark(ix: CodeIndex, found: DataFrame, known: DataFrame, synchronous: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -42,19 +43,19 @@ def mark(ix: CodeIndex, found: DataFrame, known: DataFrame, synchronous: bool =
     """
     monitored = ix.units.filter("not is_system").select("unit_name", "mod_time_ns")
     deps = ix.unit_deps.filter("kind = 'unit'").select(F.col("name").alias("of"), F.col("unit_name").alias("dependent")).distinct()
+    known = checkpoint(known.groupBy("unit_name", "path").agg(F.max("trigger_ns").alias("trigger_ns")))
     frontier = checkpoint(_newer(found.join(monitored, "unit_name", "left_semi"), known))
-    marked = _renamed(frontier)
+    seen = checkpoint(_with(known, frontier))
     while frontier.limit(1).count():
         step = (
             frontier.join(deps, F.col("unit_name") == F.col("of")).select(F.col("dependent").alias("unit_name"), "path", "trigger_ns")
             .join(monitored, "unit_name").filter("mod_time_ns < trigger_ns").drop("mod_time_ns")
         )
-        frontier = checkpoint(_newer(step, known.unionByName(marked)))
-        marked = marked.unionByName(_renamed(frontier))
-    last = checkpoint(marked.groupBy("unit_name", "path").agg(F.max("trigger_ns").alias("trigger_ns")))
+        frontier = checkpoint(_newer(step, seen))
+        seen = checkpoint(_with(seen, frontier))
+    last = checkpoint(_newer(seen, known))
     told = last.join(ix.units.filter("has_main_file").select("unit_name", "main_file", "out_file", "mod_time_ns"), "unit_name")
-    now = known.select("unit_name", "path", "trigger_ns").unionByName(last).groupBy("unit_name", "path").agg(F.max("trigger_ns").alias("trigger_ns"))
-    return told.withColumn("synchronous", F.lit(synchronous)), now
+    return told.withColumn("synchronous", F.lit(synchronous)), seen
 
 
 def _times(ix: CodeIndex, paths: DataFrame, now_ns: int) -> DataFrame:
