@@ -1,19 +1,22 @@
 """The engine against its SQL, and against hand-written index tables."""
 
+from dataclasses import replace
+
 import compare
+import markers
 import pytest
 from pyspark.sql import functions as F
 
 from symlake import catalog
 from symlake.functions import exprs
 from symlake.model import ALL_ROLES, CALLED_BY, CANONICAL, DEF, REF, SCHEMAS
-from symlake.operators import dump, files, symbols
+from symlake.operators import dump, files, store, symbols
 from symlake.plans.index import CodeIndex, closure
 from symlake.sources.projection import load
 from symlake.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
-SOME = ["d1_file_refs", "e1_occurrences_by_usr", "e2_related_occurrences", "e5_canonical_by_usr", "e8_count_by_kind", "e10_occurrences_in_file", "e13_unit_tests_main_files", "f1_main_files", "f8_files_of_unit_closure", "r3_base_hierarchy", "r5_out_of_date_closure", "v3_visible_units_explicit", "b11_poll_diff", "h4_role_text", "o1_out_of_date"]
+SOME = ["d1_file_refs", "e1_occurrences_by_usr", "e2_related_occurrences", "e5_canonical_by_usr", "e8_count_by_kind", "e10_occurrences_in_file", "e13_unit_tests_main_files", "f1_main_files", "f8_files_of_unit_closure", "r3_base_hierarchy", "r5_out_of_date_closure", "v3_visible_units_explicit", "b11_poll_diff", "h4_role_text", "h4_role_text_raw_short", "h8_codes", "o1_out_of_date", "o4_check_imported", "e15_call_occurrences", "r1_root_units", "b1_units_imported", "b4_records_once", "b12_outputs_removed", "s1_delegate_events", "a20_prefix_mappings", "c5_occurrence_text", "c6_terse_text", "d10_unit_info"]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -76,7 +79,13 @@ def test_scalar_functions(spark):
     assert m("abcb", "ab", subsequence=True) and not m("abcb", "ab", subsequence=True, anchor_end=True)
     assert m("", "", anchor_end=True) and not m("", "x", subsequence=True) and not m("x", "", subsequence=True)
     assert m("a.b", "a.b", subsequence=True, anchor_start=True, anchor_end=True) and not m("É", "é", ignore_case=True)
-    assert value(exprs.role_text(F.lit(DEF | CANONICAL))) == "[def|canonical]"
+    assert value(exprs.role_text(F.lit(DEF | CANONICAL))) == "[def|canon]"
+    assert value(exprs.role_text(F.lit(DEF | 1 << 20))) == "[def|<<unknown roles 1048576>]" and value(exprs.role_text(F.lit(0))) == "[]"
+    assert value(exprs.role_text(F.lit(256 | 512 | 1 << 19), "raw")) == "implicit, undefinition, childOf" and value(exprs.role_text(F.lit(DEF | CANONICAL), "short")) == "Def"
+    assert value(exprs.property_text(F.lit(65536 | 393216))) == "[swift_async|internal]" and value(exprs.property_text(F.lit(0))) == "[]"
+    assert value(exprs.property_text(F.lit(1 | 7 << 17 | 1 << 30))) == "[gen|<<unknown properties 917504>>|<<unknown properties 1073741824>>]"
+    assert [value(exprs.kind_text(F.lit(k))) for k in ("instanceMethod", "enumConstant", "conversionFunction", "namespaceAlias", "typealias")] == ["instance-method", "enumerator", "conversion-func", "namespace-alias", "typealias"]
+    assert value(exprs.decoded(F.unhex(F.lit("61FF62")))) == "a\ufffdb" and store.version() == (1, 2) and store.version(50012) == (5, 12)
     assert value(exprs.properties_contain(F.lit(393216 | 8), 8)) and not value(exprs.properties_contain(F.lit(393216), 3 << 18))
     assert value(exprs.property_components(F.lit(8 | 65536 | 393216))) == ["unitTest", "swiftAsync", "internal"]
     assert value(exprs.parent_dir(F.lit("/a/b.c"))) == "/a" and value(exprs.base_name(F.lit("/a/b.c"))) == "b.c"
@@ -106,21 +115,148 @@ def test_root_units_of_all_units(spark):
             new = up.get(x, set()) - seen
             seen |= new
             todo += new
-    assert {tuple(r) for r in catalog.queries()["r1_root_units_all"](spark, SF).select("unit_name", "root").collect()} == want and {u for u, _ in want} > {u for u in main if main[u]}
+    assert {tuple(r) for r in catalog.queries()["r1_root_units"](spark, SF).select("unit_name", "root").collect()} == want and {u for u, _ in want} > {u for u in main if main[u]}
+
+
+def test_texts(spark):
+    ix = project(spark)
+    found = symbols.occurrences_of(ix, "s:4main1cyyF", REF | DEF).orderBy("path")
+    texts = [(r["text"], r["short"]) for r in dump.occurrence_texts(ix, found).orderBy("path").collect()]
+    assert texts[0] == ("main::/src/a.swift:3:13 | c() | function ([internal]) | s:4main1cyyF | swift | [ref|call|calledBy|contBy]\n\t[calledBy|contBy] | s:4main1ayyF", "/src/a.swift:3:13 | c() | function | s:4main1cyyF | Ref,Call,RelCall,RelCont")
+    assert "Modification Date: 1970-01-01 00:00:00 +0000\n" in dump.describe_unit(ix, "a-1")
+    assert dump.file_association_lines(ix).first()["line"] == "---- /src/a.swift, a-1, module: main, sys: 0, 0"
+    assert [r["line"] for r in dump.units_by_file(ix).collect()] == [f"/src/{x}.swift -> {x}-1" for x in "abc"]
+    assert [tuple(r)[1::4] for r in dump.unit_info(ix, ["a-1", "x"]).orderBy("asked").collect()] == [("a-1", True), ("", False)]
+    seen = []
+    assert symbols.each(found, lambda r: seen.append(r["path"])) and not symbols.each(found, lambda r: False) and seen == ["/src/a.swift", "/src/c.swift"]
+    with pytest.raises(store.StoreError, match="there is no record"):
+        store.record(ix, "none")
+    assert str(store.StoreError(None)) == "Unknown error"
+    with pytest.raises(ValueError, match="there is no field"):
+        symbols.with_fields(found, colour=1)
+
+
+def test_markers():
+    text = "a /*x*/b\né/*<y*/ 😀/*z*/"
+    assert markers.scan(text) == {"x": (1, 8, 8), "y": (2, 3, 2), "z": (2, 19, 16)} and markers.scan("") == {}
+    for bad in ("/*a*//*a*/", "/*a/*b*/"):
+        with pytest.raises(markers.MarkerError):
+            markers.scan(bad)
+    rows = [{"path": "a", "roles": 6}, {"path": "b", "roles": 2}]
+    assert markers.missing(rows, [{"path": "b"}, {"path": "a", "roles": 2}]) == [] and len(markers.missing(rows, [{"path": "a", "roles": 1}])) == 3
+
+
+def changed(ix: CodeIndex, unit: str, time: int) -> CodeIndex:
+    return replace(ix, units=ix.units.withColumn("mod_time_ns", F.when(F.col("unit_name") == unit, F.lit(time)).otherwise(F.col("mod_time_ns"))))
+
+
+def test_import_writes_what_is_new(spark, tmp_path):
+    ix, db = project(spark), ingest.Store(spark, str(tmp_path / "db"))
+    assert db.poll(ix, initial=True) == {"added_pending": 3, "completed": 3, "processed": 3, "out_of_date": 0}
+    first = db._manifest()
+    # Unchanged units are pending again, but nothing is written for them.
+    assert db.poll(ix)["processed"] == 0 and db._manifest()["tables"]["units"] == first["tables"]["units"]
+    assert db.poll(changed(ix, "a-1", 99))["processed"] == 1
+    now = db._manifest()
+    bucket = str(spark.range(1).select(F.pmod(F.xxhash64(F.lit("a-1")), F.lit(64))).first()[0])
+    assert {b for b, f in now["tables"]["units"].items() if first["tables"]["units"].get(b) != f} == {bucket}
+    assert all(now["tables"][t] == first["tables"][t] for t in ("record_symbols", "occurrences", "files"))
+    assert {r["unit_name"]: r["mod_time_ns"] for r in db.current().units.collect()} == {"a-1": 99, "b-1": 2, "c-1": 3}
+    kinds = [(r["snapshot"], r["kind"], r["n"]) for r in db.told().filter("kind <> 'processed_unit'").orderBy("snapshot", "ord").collect()]
+    assert kinds == [(1, "initial_pending", 3), (1, "added_pending", 3), (1, "completed", 3), (2, "added_pending", 3), (2, "completed", 3), (3, "added_pending", 3), (3, "completed", 3)]
+    # Files of units that are gone stay known.
+    db.poll(replace(ix, units=ix.units.filter("unit_name <> 'a-1'")))
+    assert db.current().units.count() == 2 and "/src/a.swift" in {r["path"] for r in files.all_files(db.current()).collect()}
+    db.vacuum(keep=1)
+    assert db.current().units.count() == 2 and len(db._pointers()) == 1
+    stream = db.told_stream().writeStream.format("memory").queryName("told_to").trigger(availableNow=True).start()
+    stream.awaitTermination(60)
+    assert spark.table("told_to").count() == db.told().count()
+
+
+def test_of_two_writers_one_reads_again(spark, tmp_path, monkeypatch):
+    ix, db = project(spark), ingest.Store(spark, str(tmp_path / "db"))
+    other, publish, done = ingest.Store(spark, str(tmp_path / "db")), db._publish, []
+
+    def late(manifest):
+        if not done:
+            done.append(other.process_outputs(ix, ["/build/a.o"]))
+        publish(manifest)
+
+    monkeypatch.setattr(db, "_publish", late)
+    assert db.process_outputs(ix, ["/build/b.o"])["processed"] == 1
+    assert {r[0] for r in db.current().units.select("unit_name").collect()} == {"a-1", "b-1"} and db._manifest()["number"] == 2
+    with pytest.raises(ingest.Conflict):
+        publish(db._manifest() | {"number": 1})
+    # A pointer whose writer died is no snapshot.
+    (tmp_path / "db" / "current-000000000003").write_text("")
+    assert db.current().units.count() == 2
+    monkeypatch.setattr(ingest, "CLAIM_SECONDS", -1)
+    assert ingest.Store(spark, str(tmp_path / "db")).process_outputs(ix, ["/build/c.o"])["processed"] == 1
+
+
+def test_explicit_outputs(spark, tmp_path):
+    ix = project(spark)
+    pch = spark.createDataFrame([("p-1", 9, "/build/p.pch", None, False, "", "arm64", "main", "/src", False, False, True, "clang", "5")], SCHEMAS["units"])
+    dep = spark.createDataFrame([("b-1", 1, "unit", "p-1", "", "main", False), ("p-1", 0, "record", "c-rec", "/src/h.h", "main", False)], SCHEMAS["unit_deps"])
+    ix = replace(ix, units=ix.units.unionByName(pch), unit_deps=ix.unit_deps.unionByName(dep))
+    db = ingest.Store(spark, str(tmp_path / "db"), ingest.Options(explicit_outputs=frozenset()))
+    c = "s:4main1cyyF"
+    assert db.poll(ix, initial=True)["processed"] == 0 and at(symbols.occurrences_of(db.current(), c, ALL_ROLES)) == []
+    # Outputs are added and removed one by one; what b depends on comes with it, and stays.
+    assert db.add_outputs(ix, ["/build/a.o", "/build/b.o"])["processed"] == 3
+    assert at(symbols.occurrences_of(db.current(), c, ALL_ROLES)) == sorted([("", 1, 11), ("a", 3, 13)]) or len(at(symbols.occurrences_of(db.current(), c, ALL_ROLES))) == 2
+    db.remove_outputs(ix, ["/build/b.o"])
+    assert {r[0] for r in db._index(db._manifest()).units.select("unit_name").collect()} == {"a-1", "p-1"} and db.outputs() == ["/build/a.o"]
+    assert at(symbols.occurrences_of(db.current(), c, ALL_ROLES)) == [("a", 3, 13)]
+
+
+def test_prefix_mappings(spark, tmp_path):
+    db = ingest.Store(spark, str(tmp_path / "db"), ingest.Options(prefix_mappings=(("/src", "/home/x"), ("/build", "/out"))))
+    db.poll(project(spark))
+    assert {r[0] for r in db.current().unit_deps.select("path").collect()} == {f"/home/x/{x}.swift" for x in "abc"}
+    assert {(r["out_file"], r["main_file"]) for r in db.current().units.collect()} == {(f"/out/{x}.o", f"/home/x/{x}.swift") for x in "abc"}
+    assert db.process_outputs(project(spark), ["/out/a.o"])["processed"] == 1
+    for t in SCHEMAS:
+        getattr(project(spark), t).write.parquet(str(tmp_path / "landing" / t))
+    landed = store.open_store(spark, str(tmp_path / "landing"), [("/src", "/y")])
+    assert landed.units.filter("main_file like '/y/%'").count() == 3
+    with pytest.raises(store.StoreError, match="index store path does not exist"):
+        store.open_store(spark, str(tmp_path / "nowhere"))
+
+
+def test_out_of_date(spark, tmp_path):
+    ix, stats = project(spark), "path string, mtime_ns long"
+    more = spark.createDataFrame([("b-1", 1, "unit", "c-1", "", "main", False)], SCHEMAS["unit_deps"])
+    times = {"/src/a.swift": 0, "/src/b.swift": 0, "/src/c.swift": 0}
+    at_times = lambda **new: replace(ix, unit_deps=ix.unit_deps.unionByName(more), file_stats=spark.createDataFrame(list((times | {f"/src/{k}.swift": v for k, v in new.items()}).items()), stats))
+    db = ingest.Store(spark, str(tmp_path / "db"), ingest.Options(watch=True))
+    assert db.poll(at_times(), initial=True)["out_of_date"] == 0
+    # c is touched: c and, through it, b are out of date, once.
+    found = db.check_files(at_times(c=100), ["/src/c.swift"])
+    assert sorted((r["unit_name"], r["path"], r["trigger_ns"], r["synchronous"]) for r in found.collect()) == [("b-1", "/src/c.swift", 100, True), ("c-1", "/src/c.swift", 100, True)]
+    assert db.check_files(at_times(c=100), ["/src/c.swift"]).count() == 0 and db.check_files(at_times(c=100), ["/src/"], directories=True).count() == 0
+    assert {r["unit_name"] for r in db.told().filter("kind = 'out_of_date'").collect()} == {"b-1", "c-1"}
+    # c is built again: its trigger is gone. b is not, and a later touch tells of it again. A missing file is changed now.
+    rebuilt = changed(at_times(c=100), "c-1", 200)
+    assert db.poll(rebuilt)["out_of_date"] == 0 and {r["unit_name"] for r in db.triggers().collect()} == {"b-1"}
+    gone = replace(rebuilt, file_stats=rebuilt.file_stats.filter("path <> '/src/c.swift'"))
+    assert {(r["unit_name"], r["trigger_ns"]) for r in db.check_files(gone, ["/src/c.swift"], now_ns=500).collect()} == {("b-1", 500), ("c-1", 500)}
+    assert [tuple(r) for r in files.outputs_out_of_date(gone, ["/build/a.o", "/x"], ["/src/a.swift"], 500).orderBy("out_file").collect()] == [("/build/a.o", False), ("/x", True)]
 
 
 def test_import_and_stream(spark, tmp_path):
-    ix, store = project(spark), ingest.Store(spark, str(tmp_path / "db"))
-    none = store.current().units.select("unit_name", "mod_time_ns")
-    assert store.poll(ix, none)["processed"] == 3
-    assert store.poll(ix, none)["processed"] == 0  # the times are the same
+    ix, db = project(spark), ingest.Store(spark, str(tmp_path / "db"))
+    none = db.current().units.select("unit_name", "mod_time_ns")
+    assert db.poll(ix, none)["processed"] == 3
+    assert db.poll(ix, none)["processed"] == 0  # the times are the same
     c = "s:4main1cyyF"
-    assert at(symbols.occurrences_of(store.current(), c, ALL_ROLES)) == [("a", 3, 13), ("c", 1, 11)]
+    assert at(symbols.occurrences_of(db.current(), c, ALL_ROLES)) == [("a", 3, 13), ("c", 1, 11)]
     spark.createDataFrame([(1, "Removed", "a-1", False, False, False)], ingest.EVENTS).write.parquet(str(tmp_path / "events"))
-    store.listen(ix, str(tmp_path / "events"), str(tmp_path / "cp")).awaitTermination(60)
-    after = store.current()
+    db.listen(ix, str(tmp_path / "events"), str(tmp_path / "cp")).awaitTermination(60)
+    after = db.current()
     assert at(symbols.occurrences_of(after, c, ALL_ROLES)) == [("c", 1, 11)]
     assert [r["name"] for r in symbols.symbol_names(after).collect()] == ["a()", "b()", "c()"]  # names stay
-    assert store.process_outputs(ix, ["/build/c.o"])["processed"] == 1
+    assert db.process_outputs(ix, ["/build/c.o"])["processed"] == 1
     with pytest.raises(ingest.IndexError_):
         ingest.Store(spark, str(tmp_path / "none"), ingest.Options(readonly=True))
