@@ -108,7 +108,7 @@ _IS_TEST = " join tests t on t.record_name = o.record_name and t.usr = o.usr whe
 _q("e12_unit_tests", lambda ix: _out(symbols.unit_tests(ix)), _TESTS + _OCC.format("m_occ") + _IS_TEST)
 _q("e13_unit_tests_main_files", lambda ix: _out(symbols.unit_tests(ix, main_files=_MAIN)), f"mf as (select * from m_units where main_file in {tuple(_MAIN)}), " + _refs("d2", "mf") + ", " + _TESTS + _OCC.format("m_occ").replace("d1 f", "d2 f") + _IS_TEST)
 _q("e14_unit_tests_out_files", lambda ix: _out(symbols.unit_tests(ix, out_files=_OUTS)), f"mf as (select * from m_units where out_file in {tuple(_OUTS)}), " + _refs("d2", "mf") + ", " + _TESTS + _OCC.format("m_occ").replace("d1 f", "d2 f") + _IS_TEST)
-_CALLEES = ["s:p66", "s:p149", "s:p35", "s:p64", "s:p12", "s:p109"]
+_CALLEES = ["s:p66", "s:p149", "s:p35", "s:p64"]
 _q("e15_call_occurrences", lambda ix: symbols.calls_of(ix, _CALLEES).select("callee", *OUT),
    _EXPLODED + f""", seen as (select distinct record_name from d1), kind1 as (select usr, min(kind) as kind from m_recsym group by usr),
 able as (select usr from (values {", ".join(f"('{c}')" for c in _CALLEES)}) t(usr) where usr in (select usr from m_recsym where kind in ('function', 'instanceMethod'))),
@@ -188,8 +188,9 @@ _q("a8_record_symbols", lambda ix: store.symbols_of_record(ix, _RECS).select("re
 _q("a9_symbols_matching", lambda ix: store.symbols_of_record(ix, _RECS, F.col("name").contains("e") & any_of("roles", DEF | REF)).select("record_name", "usr", "name"), f"select record_name, usr, name from m_recsym where record_name in {_REC} and contains(name, 'e') and (roles & 6) <> 0")
 _q("a10_record_occurrences", lambda ix: store.occurrences_of_record(ix, _RECS).select("record_name", "usr", "line", "col", "roles"), f"select record_name, usr, line, col, roles from m_occ where record_name in {_REC}")
 _q("a11_line_range", lambda ix: store.occurrences_of_record(ix, ["rec-77"], lines=(1, 2)).select("usr", "line", "col"), "select usr, line, col from m_occ where record_name = 'rec-77' and line between 1 and 2")
-_q("a12_symbol_filter", lambda ix: store.occurrences_of_record(ix, _RECS, symbols=["s:p101", "s:p7"], related=["s:s3", "s:s8", "s:p5"]).select("record_name", "usr", "line"),
-   f"select record_name, usr, line from m_occ where record_name in {_REC} and (usr in ('s:p101', 's:p7') or rel_usr in ('s:s3', 's:s8', 's:p5') or coalesce(rel2_usr, '') in ('s:s3', 's:s8', 's:p5'))")
+_SUPPLIERS = [f"s:{k}{i}" for i in range(1, 60) for k in "ps"]
+_q("a12_symbol_filter", lambda ix: store.occurrences_of_record(ix, _RECS, symbols=["s:p101", "s:p7"], related=_SUPPLIERS).select("record_name", "usr", "line"),
+   f"select record_name, usr, line from m_occ where record_name in {_REC} and (usr in ('s:p101', 's:p7') or rel_usr in {tuple(_SUPPLIERS)} or coalesce(rel2_usr, '') in {tuple(_SUPPLIERS)})")
 _q("a15_relations", lambda ix: store.occurrences_of_record(ix, _RECS).select("record_name", "line", F.explode("relations").alias("r")).select("record_name", "line", "r.usr", "r.roles"), _EXPLODED + f" select record_name, line, ru as usr, rr as roles from rel where record_name in {_REC}")
 _q("a16_unit_name_from_output", lambda ix: store.unit_name_from_output(ix, [*_OUTS, "/build/none.o"]), "select o as out_file, unit_name from (values ('/build/o2.o'), ('/build/o5.o'), ('/build/o9.o'), ('/build/o12.o'), ('/build/none.o')) t(o) left join m_units on out_file = o")
 _q("a17_unit_time", lambda ix: store.unit_time(ix, ["unit-77", "unit-450"]), "select unit_name, mod_time_ns from m_units where unit_name in ('unit-77', 'unit-450')")
@@ -285,13 +286,20 @@ def _imported(ix: CodeIndex) -> ingest.Store:
     return _STORES[key]
 
 
-def _explicit(ix: CodeIndex, remove: bool) -> CodeIndex:
-    checkpoint(ix.spark.range(1))
-    stored = ingest.Store(ix.spark, f"{ix.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}", ingest.Options(explicit_outputs=frozenset(), buckets=4))
-    stored.add_outputs(ix, _OUTS)
-    if remove:
+_EXPLICIT: dict[tuple, list[CodeIndex]] = {}
+
+
+def _explicit(ix: CodeIndex, removed: bool) -> CodeIndex:
+    """A store with explicit outputs, after some were added, and after one was taken away again."""
+    key = (ix.spark.sparkContext.applicationId, ix.units.inputFiles()[0])
+    if key not in _EXPLICIT:
+        checkpoint(ix.spark.range(1))
+        stored = ingest.Store(ix.spark, f"{ix.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}", ingest.Options(explicit_outputs=frozenset(), buckets=4))
+        stored.add_outputs(ix, _OUTS)
+        added = stored.imported()
         stored.remove_outputs(ix, _OUTS[2:3])
-    return stored.current()
+        _EXPLICIT[key] = [added, stored.imported()]
+    return _EXPLICIT[key][removed]
 
 
 _CHASE = f"chase as (select unit_name from m_units where out_file in {tuple(_OUTS)} union select u.unit_name from chase c join m_deps d on d.kind = 'unit' and d.unit_name = c.unit_name join m_units u on u.unit_name = d.name)"

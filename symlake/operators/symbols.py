@@ -143,23 +143,32 @@ def _edges(ix: CodeIndex, roles: int) -> DataFrame:
     return ix.occurrences.join(visible, "record_name", "left_semi").select("usr", F.explode("relations").alias("r")).filter(any_of("r.roles", roles)).select("usr", F.col("r.usr").alias("related")).distinct()
 
 
-def related_closure(ix: CodeIndex, usrs: Sequence[str], roles: int) -> DataFrame:
-    """(seed, usr): symbols whose occurrences relate to the seed through roles, step by step; the seed isn't listed."""
+def related_edges(ix: CodeIndex, roles: int) -> DataFrame:
+    """(src, dst): dst has visible occurrences with one of roles that relate to src."""
     visible = ix.file_refs().select("record_name").distinct()
-    step = ix.occurrences.filter(any_of("roles", roles)).join(visible, "record_name", "left_semi").select(F.explode("relations.usr").alias("src"), F.col("usr").alias("dst")).distinct()
+    return ix.occurrences.filter(any_of("roles", roles)).join(visible, "record_name", "left_semi").select(F.explode("relations.usr").alias("src"), F.col("usr").alias("dst")).distinct()
+
+
+def related_closure(ix: CodeIndex, usrs: Sequence[str], roles: int, edges: DataFrame | None = None) -> DataFrame:
+    """(seed, usr): symbols whose occurrences relate to the seed through roles, step by step; the seed isn't listed. edges: related_edges(), if they are there."""
     seeds = ix.spark.createDataFrame([(u, u) for u in usrs], "seed string, node string")
-    return closure(seeds, checkpoint(step)).filter("seed <> node").select("seed", F.col("node").alias("usr"))
+    return closure(seeds, checkpoint(related_edges(ix, roles)) if edges is None else edges).filter("seed <> node").select("seed", F.col("node").alias("usr"))
 
 
-def base_hierarchy(ix: CodeIndex, usrs: Sequence[str]) -> DataFrame:
-    """(seed, usr): what instance methods override, and what other symbols have as bases, transitively; the seed isn't listed."""
+def base_edges(ix: CodeIndex) -> DataFrame:
+    """(src, dst): what instance methods override, and what other symbols have as bases."""
     kinds = ix.record_symbols.groupBy("usr").agg(F.max((F.col("kind") == "instanceMethod").cast("int")).alias("method"))
     up = _edges(ix, OVERRIDE_OF).select(F.col("usr").alias("src"), F.col("related").alias("dst"), F.lit(1).alias("m"))
     bases = _edges(ix, BASE_OF).select(F.col("related").alias("src"), F.col("usr").alias("dst"), F.lit(0).alias("m"))
     # Methods go by what they override, others by their bases.
     edges = up.unionByName(bases).join(kinds.withColumnRenamed("usr", "src"), "src", "left").filter(F.coalesce("method", F.lit(0)) == F.col("m")).select("src", "dst")
+    return edges
+
+
+def base_hierarchy(ix: CodeIndex, usrs: Sequence[str], edges: DataFrame | None = None) -> DataFrame:
+    """(seed, usr): base_edges() (given, if they are there) followed transitively; the seed isn't listed."""
     seeds = ix.spark.createDataFrame([(u, u) for u in usrs], "seed string, node string")
-    return closure(seeds, checkpoint(edges)).filter("seed <> node").select("seed", F.col("node").alias("usr"))
+    return closure(seeds, checkpoint(base_edges(ix)) if edges is None else edges).filter("seed <> node").select("seed", F.col("node").alias("usr"))
 
 
 def with_fields(found: DataFrame, **fields: object) -> DataFrame:
@@ -183,17 +192,17 @@ def each(found: DataFrame, receiver: Callable[[Row], bool]) -> bool:
 
 
 def calls_of(ix: CodeIndex, callees: Sequence[str]) -> DataFrame:
-    """call_occurrences() of several symbols, with a column callee. Each is a plan of its own: for a handful."""
-    out = None
+    """call_occurrences() of several symbols, with a column callee. Each is a plan of its own, for a handful; the edges that they follow are made once."""
+    out, bases, overrides = None, checkpoint(base_edges(ix)), checkpoint(related_edges(ix, OVERRIDE_OF))
     for c in dict.fromkeys(callees):
-        found = call_occurrences(ix, c).withColumn("callee", F.lit(c))
+        found = call_occurrences(ix, c, bases=bases, overrides=overrides).withColumn("callee", F.lit(c))
         out = found if out is None else out.unionByName(found)
     if out is None:
         raise ValueError("no callee is given")
     return out
 
 
-def call_occurrences(ix: CodeIndex, callee: str, record_name: str | None = None) -> DataFrame:
+def call_occurrences(ix: CodeIndex, callee: str, record_name: str | None = None, bases: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """Calls of a callable symbol, with those that dispatch to it dynamically.
 
     The callee is the symbol at its first occurrence (in record_name, if given). Protocol methods are
@@ -226,9 +235,9 @@ def call_occurrences(ix: CodeIndex, callee: str, record_name: str | None = None)
     if not classes:
         return direct
     if kinds_of(classes[:1]).get(classes[0]) == "protocol":
-        return direct.unionByName(occurrences_of(ix, related_closure(ix, [callee], OVERRIDE_OF).select("usr"), CALL))
-    known = base_hierarchy(ix, classes).select("usr").unionByName(ix.spark.createDataFrame([(c,) for c in classes], "usr string")).distinct()
-    calls = occurrences_of(ix, base_hierarchy(ix, [callee]).select("usr"), CALL).filter(any_of("roles", DYNAMIC))
+        return direct.unionByName(occurrences_of(ix, related_closure(ix, [callee], OVERRIDE_OF, overrides).select("usr"), CALL))
+    known = base_hierarchy(ix, classes, bases).select("usr").unionByName(ix.spark.createDataFrame([(c,) for c in classes], "usr string")).distinct()
+    calls = occurrences_of(ix, base_hierarchy(ix, [callee], bases).select("usr"), CALL).filter(any_of("roles", DYNAMIC))
     calls = calls.withColumn("row", F.monotonically_increasing_id())
     calls = checkpoint(calls)
     to = calls.select("row", F.explode(F.filter("relations", lambda r: any_of(r["roles"], RECEIVED_BY))).alias("r")).select("row", F.col("r.usr").alias("usr")).join(known, "usr", "left_semi").select("row").distinct()

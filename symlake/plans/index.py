@@ -37,12 +37,15 @@ def closure(seeds: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -
     end. Nodes in stop (node) are reached but not left.
     """
     frontier = visited = checkpoint(seeds.select("seed", "node").distinct())
+    level, width = 0, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while frontier.limit(1).count():
         leaving = frontier if stop is None else frontier.join(stop, "node", "left_anti")
         frontier = checkpoint(
             leaving.join(edges, leaving["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct().join(visited, ["seed", "node"], "left_anti")
         )
-        visited = visited.unionByName(frontier)
+        level, visited = level + 1, visited.unionByName(frontier)
+        if level % 8 == 0:  # what was visited stays few files, however deep the walk
+            visited = checkpoint(visited.coalesce(width))
     return visited
 
 

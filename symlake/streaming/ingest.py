@@ -142,6 +142,10 @@ class Store:
         ix = self._index(manifest)
         return ix if manifest["outputs"] is None else ix.show_outputs(manifest["outputs"])
 
+    def imported(self) -> CodeIndex:
+        """All of the latest snapshot, whatever is visible of it."""
+        return self._index(self._manifest())
+
     def outputs(self) -> list[str] | None:
         return self._manifest()["outputs"]
 

@@ -207,7 +207,7 @@ def test_explicit_outputs(spark, tmp_path):
     assert db.add_outputs(ix, ["/build/a.o", "/build/b.o"])["processed"] == 3
     assert at(symbols.occurrences_of(db.current(), c, ALL_ROLES)) == sorted([("", 1, 11), ("a", 3, 13)]) or len(at(symbols.occurrences_of(db.current(), c, ALL_ROLES))) == 2
     db.remove_outputs(ix, ["/build/b.o"])
-    assert {r[0] for r in db._index(db._manifest()).units.select("unit_name").collect()} == {"a-1", "p-1"} and db.outputs() == ["/build/a.o"]
+    assert {r[0] for r in db.imported().units.select("unit_name").collect()} == {"a-1", "p-1"} and db.outputs() == ["/build/a.o"]
     assert at(symbols.occurrences_of(db.current(), c, ALL_ROLES)) == [("a", 3, 13)]
 
 
