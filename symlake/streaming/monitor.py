@@ -18,44 +18,62 @@ from symlake.operators.files import files_in_directories, units_containing_file
 from symlake.plans.index import CodeIndex, checkpoint
 
 
+#: Rows of a level that are broadcast.
+FEW = 10_000
+
+
 def no_triggers(ix: CodeIndex) -> DataFrame:
     return ix.spark.createDataFrame([], TRIGGERS)
 
 
-def _newer(found: DataFrame, known: DataFrame) -> DataFrame:
-    """The latest trigger of each unit and file that isn't known as late."""
-    latest = found.groupBy("unit_name", "path").agg(F.max("trigger_ns").alias("trigger_ns"))
-    old = known.groupBy("unit_name", "path").agg(F.max("trigger_ns").alias("known"))
-    return latest.join(old, ["unit_name", "path"], "left").filter("known is null or trigger_ns > known").select("unit_name", "path", "trigger_ns")
+def _latest(triggers: DataFrame) -> DataFrame:
+    return triggers.groupBy("unit_name", "path").agg(F.max("trigger_ns").alias("trigger_ns"))
+
+
+def _new(found: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The latest trigger of each unit and file that isn't known (known: one row each) as late."""
+    latest = _latest(found)
+    if known is None:
+        return latest
+    return latest.join(known.withColumnRenamed("trigger_ns", "known").hint("merge"), ["unit_name", "path"], "left").filter("known is null or trigger_ns > known").select("unit_name", "path", "trigger_ns")
 
 
-def _with(known: DataFrame, new: DataFrame) -> DataFrame:
-    """The triggers known, with new ones: the later of each unit and file."""
-    later = F.greatest("trigger_ns", "t_").alias("trigger_ns")
-    return known.join(new.withColumnRenamed("trigger_ns", "t_"), ["unit_name", "path"], "full").select("unit_name", "path", later)
+def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A union of checkpoints. All triggers have a unit; the filter keeps Spark from rewriting constraints that a checkpoint holds on columns of its origin."""
+    return a.filter("unit_name is not null").unionByName(b.filter("unit_name is not null"))
 
 
 def mark(ix: CodeIndex, found: DataFrame, known: DataFrame, synchronous: bool = False) -> tuple[DataFrame, DataFrame]:
     """(told, triggers): what delegates are told of found (unit_name, path, trigger_ns) with all that follows, and the triggers known from now on.
 
     told: unit_name, main_file, out_file, mod_time_ns, path, trigger_ns, synchronous, of units with a
-    main file. One join a level for all triggers together; what is known is taken out, so cycles end.
+    main file. One join a level for all triggers together. A level takes out what was known before;
+    what the walk itself has seen is only added to, and taken out at levels 1, 2, 4, 8 …, so a walk
+    passes over all that it has seen a few times, and cycles still end. No side is broadcast but a
+    few rows, counted before.
     """
     monitored = ix.units.filter("not is_system").select("unit_name", "mod_time_ns")
     deps = ix.unit_deps.filter("kind = 'unit'").select(F.col("name").alias("of"), F.col("unit_name").alias("dependent")).distinct()
-    known = checkpoint(known.groupBy("unit_name", "path").agg(F.max("trigger_ns").alias("trigger_ns")))
-    frontier = checkpoint(_newer(found.join(monitored, "unit_name", "left_semi"), known))
-    seen = checkpoint(_with(known, frontier))
-    while frontier.limit(1).count():
-        step = (
-            frontier.join(deps, F.col("unit_name") == F.col("of")).select(F.col("dependent").alias("unit_name"), "path", "trigger_ns")
-            .join(monitored, "unit_name").filter("mod_time_ns < trigger_ns").drop("mod_time_ns")
-        )
-        frontier = checkpoint(_newer(step, seen))
-        seen = checkpoint(_with(seen, frontier))
-    last = checkpoint(_newer(seen, known))
-    told = last.join(ix.units.filter("has_main_file").select("unit_name", "main_file", "out_file", "mod_time_ns"), "unit_name")
-    return told.withColumn("synchronous", F.lit(synchronous)), seen
+    known = checkpoint(_latest(known))
+    none = not known.limit(1).count()
+    frontier = checkpoint(_new(found.join(monitored.hint("merge"), "unit_name", "left_semi"), None if none else known))
+    seen, level, edges = frontier, 0, None
+    width = int(ix.spark.conf.get("spark.sql.shuffle.partitions"))
+    while size := frontier.count():
+        if edges is None:
+            edges = checkpoint(deps.join(monitored.withColumnRenamed("unit_name", "dependent").hint("merge"), "dependent"))
+        few = F.broadcast(frontier) if size <= FEW else frontier.hint("merge")
+        step = edges.join(few, F.col("unit_name") == F.col("of")).filter("mod_time_ns < trigger_ns").select(F.col("dependent").alias("unit_name"), "path", "trigger_ns")
+        step, level = _new(step, None if none else known), level + 1
+        if level & (level - 1) == 0:
+            step = _new(checkpoint(step), _latest(seen))
+        frontier = checkpoint(step)
+        seen = _both(seen, frontier)
+        if level % 8 == 0:  # few files, however deep the walk
+            seen = checkpoint(_latest(seen).coalesce(width))
+    last = _latest(seen)
+    told = last.join(ix.units.filter("has_main_file").select("unit_name", "main_file", "out_file", "mod_time_ns").hint("merge"), "unit_name")
+    return told.withColumn("synchronous", F.lit(synchronous)), _latest(_both(known, seen))
 
 
 def _times(ix: CodeIndex, paths: DataFrame, now_ns: int) -> DataFrame:
