@@ -50,23 +50,60 @@ def duckdb_views() -> str:
     return ",\n".join(out)
 
 
+def _columns(view: str, table: str) -> str:
+    """What a view selects from its one table."""
+    return VIEWS[view].removeprefix("select ").removesuffix(f" from {table}")
+
+
+def _facts(spark: SparkSession, part: DataFrame) -> DataFrame:
+    """What m_recsym tells of a symbol, once for each, and the bits (deciding) that make an occurrence of it canonical."""
+    return spark.sql(f"""select p_partkey, min(usr) as usr, min(name) as name, min(kind) as kind, min(language) as language, min(properties) as properties,
+      bit_or(cast(case when language = 'objc' and kind in ('class', 'extension') then 1 else 2 end as bigint)) as deciding from (select {_columns("m_sym", "part")} from {{part}}) group by p_partkey""", part=part)
+
+
+def _symbols(raw: DataFrame, facts: DataFrame) -> DataFrame:
+    """m_recsym with l_orderkey for record_name: roles are united by keys as numbers, in fixed width and with one shuffle.
+
+    Some occurrence is canonical if one of its symbol's deciding bits is among all their own roles together.
+    """
+    own = raw.repartition("l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.bit_or(F.expr("own | rel_roles | rel2_roles")).alias("all_roles"), F.bit_or("own").alias("own"))
+    roles = F.expr(f"all_roles | case when (own & deciding) <> 0 then {_CANON} else 0 end").alias("roles")
+    return own.join(facts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "usr", "name", "kind", "language", "properties", roles)
+
+
 def load(spark: SparkSession, sf_dir: str) -> CodeIndex:
-    """The index over the driver's tables. Only columns that a query needs reach its scans."""
+    """The index over the driver's tables. Only columns that a query needs reach its scans.
+
+    Joins and aggregations of lineitem go by its keys as they are; texts are made behind them, so that they aren't shuffled.
+    """
     frames: dict[str, DataFrame] = {t: spark.read.parquet(str(Path(sf_dir) / f"{t}.parquet")) for t in ("orders", "lineitem", "part", "events")}
     for name, text in VIEWS.items():
+        if name in ("m_raw", "m_sym", "m_occ", "m_recsym", "m_rel"):
+            continue
         text = text.replace(" DIV ", " div ").replace("DAYS(o_orderdate)", "cast(unix_date(cast(o_orderdate as date)) as bigint)").replace("DAYS(ts)", "cast(unix_date(cast(ts as date)) as bigint)")
         used = {t: df for t, df in frames.items() if f" {t} " in f" {text.replace('(', ' ').replace(')', ' ')} "}
         for t in used:
             text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
         frames[name] = spark.sql(text, **used)
+    lineitem, part = frames["lineitem"], frames["part"]
+    both = spark.sql(f"select {_columns('m_raw', 'lineitem')}, {_columns('m_sym', 'part')} from {{lines}} join {{part}} on l_partkey = p_partkey".replace(" DIV ", " div "), lines=lineitem, part=part)
+    frames["m_occ"] = spark.sql(VIEWS["m_occ"].replace("m_raw join m_sym on l_partkey = p_partkey", "{both}"), both=both)
+    raw = spark.sql(f"select l_orderkey, {_columns('m_raw', 'lineitem')} from {{lines}}".replace(" DIV ", " div "), lines=lineitem)
+    facts = _facts(spark, part)
+    # Only parts are symbols of records, so relations to suppliers are none of theirs.
+    known = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    related = spark.sql(f"select l_orderkey, {_columns('m_raw', 'lineitem')} from {{lines}}".replace(" DIV ", " div "), lines=known)
+    relation = lambda n: F.struct(F.col(f"{n}_usr").alias("usr"), F.col(f"{n}_roles").alias("roles"))
+    related = related.select("l_orderkey", F.inline(F.array(relation("rel"), relation("rel2")))).filter("startswith(usr, 's:p')").groupBy("l_orderkey", "usr").agg(F.bit_or("roles").alias("related_roles"))
+    # The sizes of files say little of the rows in them: no side of such a join is broadcast.
+    symbols = _symbols(raw, facts).join(related.hint("merge"), ["l_orderkey", "usr"], "left")
     units = frames["m_units"].select(
         "unit_name", "mod_time_ns", "out_file", "main_file", "has_main_file", F.lit("").alias("sysroot"), F.lit("arm64").alias("target"), F.lit("main").alias("module_name"), F.lit("/").alias("work_dir"),
         "is_system", F.lit(False).alias("is_module"), F.lit(True).alias("is_debug"), F.lit("swift").alias("provider_kind"), F.lit("").alias("provider_version"),
     )
-    relation = lambda n: F.struct(F.col(f"{n}_usr").alias("usr"), F.col(f"{n}_roles").alias("roles"))
     occurrences = frames["m_occ"].select(
         "record_name", F.col("line").alias("ord"), "line", "col", "usr", "roles", F.array_compact(F.array(relation("rel"), F.when(F.col("rel2_usr").isNotNull(), relation("rel2")))).alias("relations")
     )
-    symbols = frames["m_recsym"].select("record_name", "usr", "name", "kind", F.lit("none").alias("sub_kind"), "properties", "language", F.lit("").alias("codegen_name"), "roles")
-    symbols = symbols.join(frames["m_rel"], ["record_name", "usr"], "left").withColumn("related_roles", F.coalesce("related_roles", F.lit(0).cast("long")))
+    record = F.expr("concat('rec-', cast(l_orderkey as string))").alias("record_name")
+    symbols = symbols.select(record, "usr", "name", "kind", F.lit("none").alias("sub_kind"), "properties", "language", F.lit("").alias("codegen_name"), "roles", F.coalesce("related_roles", F.lit(0).cast("long")).alias("related_roles"))
     return CodeIndex(units, frames["m_deps"], frames["m_inc"].withColumn("ord", F.col("line")), symbols, occurrences, frames["m_stats"])
