@@ -76,13 +76,18 @@ def _triggers(ix: CodeIndex) -> DataFrame:
 
 
 def _snapshots(ix: CodeIndex) -> tuple[DataFrame, DataFrame]:
-    """Two polls: in the second some units are gone, some new and some changed."""
-    number = F.substring_index("unit_name", "-", -1).cast("long")
-    before = ix.units.filter(number % 5 != 1).select("unit_name", "mod_time_ns")
-    after = ix.units.filter(number % 5 != 2).select("unit_name", F.when(number % 7 == 0, F.col("mod_time_ns") + 1).otherwise(F.col("mod_time_ns")).alias("mod_time_ns"))
+    """The times of two polls."""
+    before, after = (units.select("unit_name", "mod_time_ns") for units in _polled(ix))
     return before, after
 
 
+def _polled(ix: CodeIndex) -> tuple[DataFrame, DataFrame]:
+    """The units at two polls: at the second some are gone, some new and some changed."""
+    number = F.substring_index("unit_name", "-", -1).cast("long")
+    after = F.when(number % 7 == 0, F.col("mod_time_ns") + 1).otherwise(F.col("mod_time_ns"))
+    return ix.units.filter(number % 5 != 1), ix.units.filter(number % 5 != 2).withColumn("mod_time_ns", after)
+
+
 _q("d1_file_refs", lambda ix: ix.file_refs().select("record_name", "path", "unit_name", "mod_time_ns", "module_name", "is_system"), "select record_name, path, unit_name, mod_time_ns, module_name, is_system from d1")
 _q("e1_occurrences_by_usr", lambda ix: _out(symbols.occurrences_of(ix, "s:p101", DEF | REF)), _OCC.format("m_occ") + " where o.usr = 's:p101' and (o.roles & 6) <> 0")
 _q("e2_related_occurrences", lambda ix: _out(symbols.occurrences_related_to(ix, ["s:s3"], CALLED_BY)),
@@ -278,10 +283,9 @@ def _imported(ix: CodeIndex) -> ingest.Store:
     if key not in _STORES:
         checkpoint(ix.spark.range(1))  # names the shared folder
         stored = ingest.Store(ix.spark, f"{ix.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}", ingest.Options(buckets=4))
-        before, after = _snapshots(ix)
-        at = lambda times: replace(ix, units=ix.units.drop("mod_time_ns").join(times, "unit_name"))
-        stored.poll(at(before), initial=True)
-        stored.poll(at(after), before)
+        before, after = _polled(ix)
+        stored.poll(replace(ix, units=before), initial=True)
+        stored.poll(replace(ix, units=after), before)
         _STORES[key] = stored
     return _STORES[key]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,10 @@ from symlake.functions.exprs import name_searchable
 from symlake.model import DECL, DEF, KIND_BUCKETS, UNIT_TEST
 
 
+#: Rows of a level that are broadcast.
+FEW = 10_000
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's shared folder; a temporary one only where none is named."""
     spark = df.sparkSession
@@ -34,21 +38,44 @@ def closure(seeds: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -
     """(seed, node) reachable over edges (src, dst) from seeds (seed, node), those included.
 
     One join a level for all seeds together, with the visited pairs taken out, so cycles and diamonds
-    end. Nodes in stop (node) are reached but not left.
+    end. Nodes in stop (node) are reached but not left. A level of few rows is broadcast, counted
+    before, so that a walk from a few seeds only scans the edges and doesn't shuffle them.
     """
     frontier = visited = checkpoint(seeds.select("seed", "node").distinct())
     level, width = 0, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while frontier.limit(1).count():
-        leaving = frontier if stop is None else frontier.join(stop, "node", "left_anti")
-        frontier = checkpoint(
-            leaving.join(edges, leaving["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct().join(visited, ["seed", "node"], "left_anti")
-        )
+    while size := frontier.count():
+        small = size <= FEW
+        leaving = frontier
+        if stop is not None:
+            # The stops among few nodes are few as well.
+            at = F.broadcast(stop.join(F.broadcast(frontier.select("node").distinct()), "node", "left_semi")) if small else stop
+            leaving = frontier.join(at, "node", "left_anti")
+        step = edges.join(F.broadcast(leaving) if small else leaving, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = checkpoint(step.join(visited, ["seed", "node"], "left_anti"))
         level, visited = level + 1, visited.unionByName(frontier)
         if level % 8 == 0:  # what was visited stays few files, however deep the walk
             visited = checkpoint(visited.coalesce(width))
     return visited
 
 
+Once = Callable[[DataFrame], DataFrame]
+Find = Callable[[DataFrame, Once], tuple[DataFrame, DataFrame]]
+
+
+@dataclass(frozen=True)
+class Source:
+    """Where tables come from, if there is a shorter way to some units or records than a join with the finished tables.
+
+    of_units: from (unit_name) to unit_deps and unit_includes. of_records: from (record_name) to record_symbols
+    and occurrences, all rows of a symbol in one partition. Names are distinct; a function writes what both
+    frames are made from.
+    """
+
+    tables: tuple[DataFrame, DataFrame, DataFrame, DataFrame]
+    of_units: Find
+    of_records: Find
+
+
 @dataclass(frozen=True)
 class CodeIndex:
     """The model's tables. visible holds the units that visibility lets through; None: all of them."""
@@ -62,6 +89,7 @@ class CodeIndex:
     visible: DataFrame | None = None
     #: (path) of all files ever imported; None: those of the units that are there.
     files: DataFrame | None = None
+    source: Source | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -73,6 +101,18 @@ class CodeIndex:
     def with_units(self, condition: Column) -> CodeIndex:
         return replace(self, visible=self.units.filter(condition).select("unit_name"))
 
+    def of_units(self, names: DataFrame, once: Once) -> tuple[DataFrame, DataFrame]:
+        """unit_deps and unit_includes of units (unit_name, distinct). once writes a frame that both are made from."""
+        if self.source is not None and self.source.tables[0] is self.unit_deps and self.source.tables[1] is self.unit_includes:
+            return self.source.of_units(names, once)
+        return self.unit_deps.join(names, "unit_name", "left_semi"), self.unit_includes.join(names, "unit_name", "left_semi")
+
+    def of_records(self, names: DataFrame, once: Once) -> tuple[DataFrame, DataFrame]:
+        """record_symbols and occurrences of records (record_name, distinct), all rows of a symbol in one partition."""
+        if self.source is not None and self.source.tables[2] is self.record_symbols and self.source.tables[3] is self.occurrences:
+            return self.source.of_records(names, once)
+        return tuple(t.join(names, "record_name", "left_semi").repartitionByRange("usr") for t in (self.record_symbols, self.occurrences))
+
     # Visibility
 
     def show_main_files(self, paths: list[str]) -> CodeIndex:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.plans.index import CodeIndex
+from symlake.plans.index import CodeIndex, Once, Source
 
 _CANON = "cast(-9223372036854775808 as bigint)"
 VIEWS = {
@@ -71,6 +71,70 @@ def _symbols(raw: DataFrame, facts: DataFrame) -> DataFrame:
     return own.join(facts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "usr", "name", "kind", "language", "properties", roles)
 
 
+def _view(spark: SparkSession, text: str, frames: dict[str, DataFrame]) -> DataFrame:
+    text = text.replace(" DIV ", " div ").replace("DAYS(o_orderdate)", "cast(unix_date(cast(o_orderdate as date)) as bigint)").replace("DAYS(ts)", "cast(unix_date(cast(ts as date)) as bigint)")
+    used = {t: df for t, df in frames.items() if f" {t} " in f" {text.replace('(', ' ').replace(')', ' ')} "}
+    for t in used:
+        text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
+    return spark.sql(text, **used)
+
+
+def _relation(n: str) -> Column:
+    return F.struct(F.col(f"{n}_usr").alias("usr"), F.col(f"{n}_roles").alias("roles"))
+
+
+def _occurrences(spark: SparkSession, lines: DataFrame, part: DataFrame) -> DataFrame:
+    both = spark.sql(f"select {_columns('m_raw', 'lineitem')}, {_columns('m_sym', 'part')} from {{lines}} join {{part}} on l_partkey = p_partkey".replace(" DIV ", " div "), lines=lines, part=part)
+    return spark.sql(VIEWS["m_occ"].replace("m_raw join m_sym on l_partkey = p_partkey", "{both}"), both=both).select(
+        "record_name", F.col("line").alias("ord"), "line", "col", "usr", "roles", F.array_compact(F.array(_relation("rel"), F.when(F.col("rel2_usr").isNotNull(), _relation("rel2")))).alias("relations")
+    )
+
+
+def _record_symbols(found: DataFrame) -> DataFrame:
+    record = F.expr("concat('rec-', cast(l_orderkey as string))").alias("record_name")
+    return found.select(record, "usr", "name", "kind", F.lit("none").alias("sub_kind"), "properties", "language", F.lit("").alias("codegen_name"), "roles", F.coalesce("related_roles", F.lit(0).cast("long")).alias("related_roles"))
+
+
+def _keys(names: DataFrame, column: str, prefix: str) -> DataFrame:
+    """(of): the numbers in names that are made of a prefix and a number."""
+    return names.select(column, F.expr(f"try_cast(substring({column}, {len(prefix) + 1}) as bigint)").alias("of")).filter(f"{column} = concat('{prefix}', cast(of as string))").select("of")
+
+
+def _of_units(spark: SparkSession, orders: DataFrame, lineitem: DataFrame, names: DataFrame, once: Once) -> tuple[DataFrame, DataFrame]:
+    """unit_deps and unit_includes of some units: their orders are chosen by key, once for both."""
+    wanted = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    frames = {"orders": once(wanted.join(_keys(names, "unit_name", "unit-"), F.col("o_orderkey") == F.col("of"), "left_semi")), "lineitem": lineitem}
+    for name in ("m_units", "m_deps", "m_inc"):
+        frames[name] = _view(spark, VIEWS[name], frames)
+    return frames["m_deps"], _includes(frames["m_inc"])
+
+
+def _includes(found: DataFrame) -> DataFrame:
+    return found.withColumn("ord", F.col("line"))
+
+
+def _of_records(spark: SparkSession, lineitem: DataFrame, part: DataFrame, names: DataFrame, once: Once) -> tuple[DataFrame, DataFrame]:
+    """record_symbols and occurrences of some records: lines are chosen by their key, once for both, and lie by their part from then on.
+
+    What is united is the roles of a symbol in its record, and apart from them those of relations to it.
+    """
+    wanted = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = once(wanted.join(_keys(names, "record_name", "rec-"), F.col("l_orderkey") == F.col("of"), "left_semi"))
+    raw = spark.sql(f"select l_orderkey, {_columns('m_raw', 'lineitem')} from {{lines}}".replace(" DIV ", " div "), lines=lines)
+    facts, n, zero = _facts(spark, part), int(spark.conf.get("spark.sql.shuffle.partitions")), F.lit(0).cast("long")
+    is_part = lambda df: df.repartition(n, "l_partkey").join(facts.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    own = raw.select("l_orderkey", "l_partkey", "own", F.expr("own | rel_roles | rel2_roles").alias("all_roles"))
+    own = is_part(own).select("l_orderkey", "l_partkey", F.expr(f"all_roles | case when (own & deciding) <> 0 then {_CANON} else 0 end").alias("roles"), zero.alias("related_roles"), F.lit(True).alias("is_own"))
+    # Of the lines of parts, relations to parts.
+    to = F.expr("filter(transform(array(struct(rel_usr as usr, rel_roles as roles), struct(rel2_usr as usr, rel2_roles as roles)), r -> struct(case when startswith(r.usr, 's:p') then cast(substring(r.usr, 4) as bigint) end as key, r.roles as roles)), r -> r.key is not null)")
+    related = is_part(raw.select("l_orderkey", "l_partkey", to.alias("to")).filter("size(to) > 0")).select("l_orderkey", F.explode("to").alias("r"))
+    related = related.select("l_orderkey", F.col("r.key").alias("l_partkey"), zero.alias("roles"), F.col("r.roles").alias("related_roles"), F.lit(False).alias("is_own")).repartition(n, "l_partkey")
+    # Both lie by part, and so does their union: nothing is shuffled for the groups or the facts.
+    united = own.unionByName(related).groupBy("l_orderkey", "l_partkey").agg(F.bit_or("roles").alias("roles"), F.bit_or("related_roles").alias("related_roles"), F.max("is_own").alias("is_own")).filter("is_own")
+    symbols = united.join(facts.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    return _record_symbols(symbols), _occurrences(spark, lines, part)
+
+
 def load(spark: SparkSession, sf_dir: str) -> CodeIndex:
     """The index over the driver's tables. Only columns that a query needs reach its scans.
 
@@ -80,30 +144,21 @@ def load(spark: SparkSession, sf_dir: str) -> CodeIndex:
     for name, text in VIEWS.items():
         if name in ("m_raw", "m_sym", "m_occ", "m_recsym", "m_rel"):
             continue
-        text = text.replace(" DIV ", " div ").replace("DAYS(o_orderdate)", "cast(unix_date(cast(o_orderdate as date)) as bigint)").replace("DAYS(ts)", "cast(unix_date(cast(ts as date)) as bigint)")
-        used = {t: df for t, df in frames.items() if f" {t} " in f" {text.replace('(', ' ').replace(')', ' ')} "}
-        for t in used:
-            text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
-        frames[name] = spark.sql(text, **used)
+        frames[name] = _view(spark, text, frames)
     lineitem, part = frames["lineitem"], frames["part"]
-    both = spark.sql(f"select {_columns('m_raw', 'lineitem')}, {_columns('m_sym', 'part')} from {{lines}} join {{part}} on l_partkey = p_partkey".replace(" DIV ", " div "), lines=lineitem, part=part)
-    frames["m_occ"] = spark.sql(VIEWS["m_occ"].replace("m_raw join m_sym on l_partkey = p_partkey", "{both}"), both=both)
     raw = spark.sql(f"select l_orderkey, {_columns('m_raw', 'lineitem')} from {{lines}}".replace(" DIV ", " div "), lines=lineitem)
     facts = _facts(spark, part)
     # Only parts are symbols of records, so relations to suppliers are none of theirs.
     known = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     related = spark.sql(f"select l_orderkey, {_columns('m_raw', 'lineitem')} from {{lines}}".replace(" DIV ", " div "), lines=known)
-    relation = lambda n: F.struct(F.col(f"{n}_usr").alias("usr"), F.col(f"{n}_roles").alias("roles"))
-    related = related.select("l_orderkey", F.inline(F.array(relation("rel"), relation("rel2")))).filter("startswith(usr, 's:p')").groupBy("l_orderkey", "usr").agg(F.bit_or("roles").alias("related_roles"))
+    related = related.select("l_orderkey", F.inline(F.array(_relation("rel"), _relation("rel2")))).filter("startswith(usr, 's:p')").groupBy("l_orderkey", "usr").agg(F.bit_or("roles").alias("related_roles"))
     # The sizes of files say little of the rows in them: no side of such a join is broadcast.
-    symbols = _symbols(raw, facts).join(related.hint("merge"), ["l_orderkey", "usr"], "left")
+    symbols = _record_symbols(_symbols(raw, facts).join(related.hint("merge"), ["l_orderkey", "usr"], "left"))
     units = frames["m_units"].select(
         "unit_name", "mod_time_ns", "out_file", "main_file", "has_main_file", F.lit("").alias("sysroot"), F.lit("arm64").alias("target"), F.lit("main").alias("module_name"), F.lit("/").alias("work_dir"),
         "is_system", F.lit(False).alias("is_module"), F.lit(True).alias("is_debug"), F.lit("swift").alias("provider_kind"), F.lit("").alias("provider_version"),
     )
-    occurrences = frames["m_occ"].select(
-        "record_name", F.col("line").alias("ord"), "line", "col", "usr", "roles", F.array_compact(F.array(relation("rel"), F.when(F.col("rel2_usr").isNotNull(), relation("rel2")))).alias("relations")
-    )
-    record = F.expr("concat('rec-', cast(l_orderkey as string))").alias("record_name")
-    symbols = symbols.select(record, "usr", "name", "kind", F.lit("none").alias("sub_kind"), "properties", "language", F.lit("").alias("codegen_name"), "roles", F.coalesce("related_roles", F.lit(0).cast("long")).alias("related_roles"))
-    return CodeIndex(units, frames["m_deps"], frames["m_inc"].withColumn("ord", F.col("line")), symbols, occurrences, frames["m_stats"])
+    occurrences = _occurrences(spark, lineitem, part)
+    tables = frames["m_deps"], _includes(frames["m_inc"]), symbols, occurrences
+    source = Source(tables, lambda names, once: _of_units(spark, frames["orders"], lineitem, names, once), lambda names, once: _of_records(spark, lineitem, part, names, once))
+    return CodeIndex(units, *tables, frames["m_stats"], source=source)

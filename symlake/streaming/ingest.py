@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from symlake.model import EVENTS, FILES, SCHEMAS, TOLD, TRIGGERS
 from symlake.operators.store import map_paths
-from symlake.plans.index import CodeIndex, checkpoint, closure
+from symlake.plans.index import CodeIndex, Once, broadcast_if_small, checkpoint, closure
 from symlake.streaming import monitor
 
 #: Tables in buckets by unit, tables that only grow.
@@ -31,6 +31,8 @@ GROWING = ("record_symbols", "occurrences", "files", "told")
 _ALL = SCHEMAS | {"files": FILES, "told": TOLD, "triggers": TRIGGERS}
 #: A pointer without its manifest's name after so many seconds is that of a writer that died.
 CLAIM_SECONDS, TRIES = 60, 5
+#: Rows a file of what delegates are told.
+TOLD_ROWS = 1_000_000
 
 
 class IndexError_(Exception):
@@ -198,76 +200,90 @@ class Store:
         """
         if self.options.readonly:
             raise IndexError_("the index is read-only")
-        landing = map_paths(landing, self.options.prefix_mappings)
-        events = checkpoint(events.groupBy("unit_name").agg(F.max_by(F.struct("kind", "is_initial", "is_dependency", "ignore_mod_time"), "seq").alias("e")).select("unit_name", "e.*"))
+        landing, work = map_paths(landing, self.options.prefix_mappings), f"{self.path}/work-{uuid.uuid4().hex}"
+
+        def once(df: DataFrame) -> DataFrame:
+            """Written in columns, so smaller than a checkpoint, and of known size: what is small is broadcast."""
+            at = f"{work}/{uuid.uuid4().hex}"
+            df.write.parquet(at)
+            return self.spark.read.schema(df.schema).parquet(at)
+
+        try:
+            return self._merge_until_published(landing, events, now_ns, outputs, once)
+        finally:
+            self.fs.delete(self._path(work), True)
+
+    def _merge_until_published(self, landing: CodeIndex, events: DataFrame, now_ns: int | None, outputs: list[str] | None, once: Once) -> dict[str, int]:
+        events = once(events.groupBy("unit_name").agg(F.max_by(F.struct("kind", "is_initial", "is_dependency", "ignore_mod_time"), "seq").alias("e")).select("unit_name", "e.*"))
         bad = landing.units.join(events, "unit_name", "left_semi").filter(~F.col("provider_kind").isin("clang", "swift")).limit(1).collect()
         if bad:
             raise IndexError_(f"unit {bad[0]['unit_name']} has the unknown provider {bad[0]['provider_kind']}")
         for _ in range(TRIES):
             try:
-                return self._merge(landing, events, time.time_ns() if now_ns is None else now_ns, outputs)
+                return self._merge(landing, events, time.time_ns() if now_ns is None else now_ns, outputs, once)
             except Conflict as e:
                 conflict = e
         raise IndexError_(str(conflict))
 
     def _fresh(self, manifest: dict, stored: DataFrame, landing: CodeIndex, last: DataFrame) -> DataFrame:
-        """(unit_name, mod_time_ns) of landing units to import."""
+        """(unit_name, mod_time_ns, main_file, out_file) of landing units to import."""
         flag = lambda c: F.coalesce(c, F.lit(False))
-        found = landing.units.select("unit_name", "mod_time_ns", "out_file").join(last.filter("kind in ('Added', 'Modified')"), "unit_name")
+        units = landing.units.select("unit_name", "mod_time_ns", "main_file", "out_file")
+        found = units.join(last.filter("kind in ('Added', 'Modified')"), "unit_name")
         if manifest["outputs"] is None:
             wanted = found
         else:
             wanted = found.filter(F.col("out_file").isin(manifest["outputs"]) | flag("is_dependency"))
             # What wanted units depend on, with main files too, is imported where it is missing or another version.
             edges = landing.unit_deps.filter("kind = 'unit'").select(F.col("unit_name").alias("src"), F.col("name").alias("dst"))
-            reached = closure(wanted.select(F.col("unit_name").alias("seed"), F.col("unit_name").alias("node")), edges).select(F.col("node").alias("unit_name")).distinct()
-            more = landing.units.select("unit_name", "mod_time_ns").join(reached, "unit_name", "left_semi").join(wanted.select("unit_name"), "unit_name", "left_anti")
-            wanted = wanted.select("unit_name", "mod_time_ns", "ignore_mod_time").unionByName(more.withColumn("ignore_mod_time", F.lit(False)))
-        stale = stale_units(stored, wanted.filter(~flag("ignore_mod_time")).select("unit_name", "mod_time_ns"))
-        return checkpoint(wanted.filter(flag("ignore_mod_time")).select("unit_name", "mod_time_ns").unionByName(stale))
+            reached = checkpoint(closure(wanted.select(F.col("unit_name").alias("seed"), F.col("unit_name").alias("node")), edges).select(F.col("node").alias("unit_name")).distinct())
+            more = units.join(broadcast_if_small(reached), "unit_name", "left_semi").join(wanted.select("unit_name"), "unit_name", "left_anti")
+            wanted = wanted.select(*units.columns, "ignore_mod_time").unionByName(more.withColumn("ignore_mod_time", F.lit(False)))
+        stale = stale_units(stored, wanted.filter(~flag("ignore_mod_time")).select(*units.columns))
+        return wanted.filter(flag("ignore_mod_time")).select(*units.columns).unionByName(stale)
 
-    def _merge(self, landing: CodeIndex, last: DataFrame, now_ns: int, outputs: list[str] | None) -> dict[str, int]:
+    def _merge(self, landing: CodeIndex, last: DataFrame, now_ns: int, outputs: list[str] | None, once: Once) -> dict[str, int]:
         manifest = self._manifest()
         if outputs is not None:
             manifest["outputs"] = sorted(outputs)
         number, tables, folder = manifest["number"] + 1, manifest["tables"], uuid.uuid4().hex
-        fresh = self._fresh(manifest, self._table(manifest, "units"), landing, last)
-        gone = checkpoint(last.filter("kind = 'Removed'").select("unit_name").unionByName(fresh.select("unit_name")).distinct())
+        fresh = once(self._fresh(manifest, self._table(manifest, "units"), landing, last))
+        gone = once(last.filter("kind = 'Removed'").select("unit_name").unionByName(fresh.select("unit_name")).distinct())
         bucket = F.pmod(F.xxhash64("unit_name"), F.lit(manifest["buckets"])).cast("int")
         # At most one row a bucket.
         touched = sorted(r[0] for r in gone.select(bucket.alias("b")).distinct().collect())
+        deps, includes = landing.of_units(fresh.select("unit_name"), once)
+        new_rows = {"units": landing.units.join(fresh.select("unit_name"), "unit_name", "left_semi"), "unit_deps": deps, "unit_includes": includes}
         for t in BUCKETED if touched else ():
             old = self._table(manifest, t, touched).filter(bucket.isin(touched)).join(gone, "unit_name", "left_anti")
-            new = getattr(landing, t).join(fresh.select("unit_name"), "unit_name", "left_semi").select(*_ALL[t].names)
-            old.unionByName(new).withColumn("bucket", bucket).repartition(len(touched), "bucket").sortWithinPartitions("bucket", "unit_name").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{t}")
+            new = new_rows[t].select(*_ALL[t].names)
+            # No task holds a bucket: each writes a file for those of its units, so a task stays as small as it was.
+            old.unionByName(new).withColumn("bucket", bucket).sortWithinPartitions("bucket", "unit_name").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{t}")
             there = {s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.path}/{folder}/{t}"))}
             for b in touched:
                 tables[t].pop(str(b), None)
                 if f"bucket={b}" in there:
                     tables[t][str(b)] = f"{folder}/{t}/bucket={b}"
 
-        deps = landing.unit_deps.join(fresh.select("unit_name"), "unit_name", "left_semi")
         needed = deps.filter("kind = 'record'").select(F.col("name").alias("record_name")).distinct()
-        needed = checkpoint(needed.join(self._table(manifest, "record_symbols").select("record_name").distinct(), "record_name", "left_anti"))
+        needed = once(needed.join(self._table(manifest, "record_symbols").select("record_name").distinct(), "record_name", "left_anti"))
         if needed.limit(1).count():
-            for t in ("record_symbols", "occurrences"):
-                rows = getattr(landing, t).join(needed, "record_name", "left_semi").select(*_ALL[t].names)
-                # Lookups go by symbol: each file holds a range of them, and statistics prune.
-                rows.repartitionByRange("usr").sortWithinPartitions("usr").write.parquet(f"{self.path}/{folder}/{t}")
+            for t, rows in zip(("record_symbols", "occurrences"), landing.of_records(needed, once), strict=True):
+                # Lookups go by symbol: each lies in one file, in order, and statistics prune.
+                rows.select(*_ALL[t].names).sortWithinPartitions("usr").write.parquet(f"{self.path}/{folder}/{t}")
                 tables[t].append(f"{folder}/{t}")
-        paths = deps.filter(F.col("kind").isin("record", "file")).select("path").distinct().join(self._table(manifest, "files"), "path", "left_anti")
+        paths = once(deps.filter(F.col("kind").isin("record", "file")).select("path").distinct().join(self._table(manifest, "files"), "path", "left_anti"))
         if paths.limit(1).count():
             paths.write.parquet(f"{self.path}/{folder}/files")
             tables["files"].append(f"{folder}/files")
 
         # What delegates are told: pending, processed, out of date, completed.
         counts = last.agg(F.count("*"), F.count_if(F.coalesce("is_initial", F.lit(False)))).first()
-        more = fresh.join(last, "unit_name", "left_anti").count()
+        # Only explicit outputs bring units that no event names.
+        more = 0 if manifest["outputs"] is None else fresh.join(last, "unit_name", "left_anti").count()
         pending, processed = counts[0] + more, fresh.count()
-        units = self._table(manifest, "units")
-        info = lambda df: df.join(units.select("unit_name", "main_file", "out_file", "mod_time_ns"), "unit_name")
         rows = [(1, "initial_pending", counts[1])] * bool(counts[1]) + [(2, "added_pending", pending)]
-        told = [self.spark.createDataFrame(rows, "ord int, kind string, n long"), info(fresh.select("unit_name")).withColumn("ord", F.lit(3)).withColumn("kind", F.lit("processed_unit"))]
+        told = [self.spark.createDataFrame(rows, "ord int, kind string, n long"), fresh.withColumn("ord", F.lit(3)).withColumn("kind", F.lit("processed_unit"))]
         stale = 0
         if self.options.watch and landing.file_stats is not None:
             ix = replace(self._index(manifest), file_stats=landing.file_stats)
@@ -280,17 +296,17 @@ class Store:
             stale = out.count()
             told.append(out.withColumnRenamed("path", "trigger_path").withColumn("ord", F.lit(4)).withColumn("kind", F.lit("out_of_date")))
         told.append(self.spark.createDataFrame([(5, "completed", pending)], "ord int, kind string, n long"))
-        self._tell(manifest, number, told, folder)
+        self._tell(manifest, number, told, folder, processed + stale)
         self._publish(manifest)
         self.vacuum()
         return {"added_pending": pending, "completed": pending, "processed": processed, "out_of_date": stale}
 
-    def _tell(self, manifest: dict, number: int, told: list[DataFrame], folder: str) -> None:
+    def _tell(self, manifest: dict, number: int, told: list[DataFrame], folder: str, rows: int) -> None:
         whole = told[0]
         for t in told[1:]:
             whole = whole.unionByName(t, allowMissingColumns=True)
         columns = [(F.lit(number).cast("long") if f.name == "snapshot" else F.col(f.name) if f.name in whole.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TOLD.fields]
-        whole.select(*columns).coalesce(1).write.parquet(f"{self.path}/told-{folder}")
+        whole.select(*columns).coalesce(1 + rows // TOLD_ROWS).write.parquet(f"{self.path}/told-{folder}")
         manifest["tables"]["told"].append(f"told-{folder}")
 
     def check_files(self, landing: CodeIndex, paths: list[str], now_ns: int | None = None, directories: bool = False) -> DataFrame:
@@ -303,7 +319,7 @@ class Store:
         if out.limit(1).count() and not self.options.readonly:
             triggers.write.parquet(f"{self.path}/{folder}/triggers")
             manifest["tables"]["triggers"] = [f"{folder}/triggers"]
-            self._tell(manifest, manifest["number"] + 1, [out.withColumnRenamed("path", "trigger_path").withColumn("ord", F.lit(4)).withColumn("kind", F.lit("out_of_date"))], folder)
+            self._tell(manifest, manifest["number"] + 1, [out.withColumnRenamed("path", "trigger_path").withColumn("ord", F.lit(4)).withColumn("kind", F.lit("out_of_date"))], folder, out.count())
             self._publish(manifest)
         return out
 

@@ -15,11 +15,7 @@ from pyspark.sql import functions as F
 
 from symlake.model import TRIGGERS
 from symlake.operators.files import files_in_directories, units_containing_file
-from symlake.plans.index import CodeIndex, checkpoint
-
-
-#: Rows of a level that are broadcast.
-FEW = 10_000
+from symlake.plans.index import FEW, CodeIndex, checkpoint
 
 
 def no_triggers(ix: CodeIndex) -> DataFrame:
