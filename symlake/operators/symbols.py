@@ -137,16 +137,21 @@ def unit_tests(ix: CodeIndex, main_files: Sequence[str] | None = None, out_files
     return located(ix, found, ix.file_refs(units))
 
 
+def _visible_records(ix: CodeIndex) -> DataFrame:
+    """(record_name), not distinct: those that a visible unit has; a semi-join with them needs no files."""
+    return ix.unit_deps.filter("kind = 'record'").join(ix.visible_units().select("unit_name"), "unit_name", "left_semi").select(F.col("name").alias("record_name"))
+
+
 def _edges(ix: CodeIndex, roles: int) -> DataFrame:
     """(usr, related, …) of relations that hold one of roles, in visible records."""
-    visible = ix.file_refs().select("record_name").distinct()
-    return ix.occurrences.join(visible, "record_name", "left_semi").select("usr", F.explode("relations").alias("r")).filter(any_of("r.roles", roles)).select("usr", F.col("r.usr").alias("related")).distinct()
+    found = ix.occurrences.filter(F.exists("relations", lambda r: any_of(r["roles"], roles))).select("record_name", "usr", F.explode("relations").alias("r")).filter(any_of("r.roles", roles))
+    return found.select("record_name", "usr", F.col("r.usr").alias("related")).join(_visible_records(ix), "record_name", "left_semi").select("usr", "related").distinct()
 
 
 def related_edges(ix: CodeIndex, roles: int) -> DataFrame:
     """(src, dst): dst has visible occurrences with one of roles that relate to src."""
-    visible = ix.file_refs().select("record_name").distinct()
-    return ix.occurrences.filter(any_of("roles", roles)).join(visible, "record_name", "left_semi").select(F.explode("relations.usr").alias("src"), F.col("usr").alias("dst")).distinct()
+    found = ix.occurrences.filter(any_of("roles", roles)).select("record_name", F.explode("relations.usr").alias("src"), F.col("usr").alias("dst"))
+    return found.join(_visible_records(ix), "record_name", "left_semi").select("src", "dst").distinct()
 
 
 def related_closure(ix: CodeIndex, usrs: Sequence[str], roles: int, edges: DataFrame | None = None) -> DataFrame:
@@ -157,12 +162,15 @@ def related_closure(ix: CodeIndex, usrs: Sequence[str], roles: int, edges: DataF
 
 def base_edges(ix: CodeIndex) -> DataFrame:
     """(src, dst): what instance methods override, and what other symbols have as bases."""
-    kinds = ix.record_symbols.groupBy("usr").agg(F.max((F.col("kind") == "instanceMethod").cast("int")).alias("method"))
-    up = _edges(ix, OVERRIDE_OF).select(F.col("usr").alias("src"), F.col("related").alias("dst"), F.lit(1).alias("m"))
-    bases = _edges(ix, BASE_OF).select(F.col("related").alias("src"), F.col("usr").alias("dst"), F.lit(0).alias("m"))
+    # One pass for both: relations are chosen and made distinct before their records are looked for.
+    r = F.explode("relations").alias("r")
+    found = ix.occurrences.filter(F.exists("relations", lambda r: any_of(r["roles"], OVERRIDE_OF | BASE_OF))).select("record_name", "usr", r).filter(any_of("r.roles", OVERRIDE_OF | BASE_OF))
+    seen = found.join(_visible_records(ix), "record_name", "left_semi")
+    up, base = F.struct(F.col("usr").alias("src"), F.col("r.usr").alias("dst"), F.lit(1).alias("m")), F.struct(F.col("r.usr").alias("src"), F.col("usr").alias("dst"), F.lit(0).alias("m"))
     # Methods go by what they override, others by their bases.
-    edges = up.unionByName(bases).join(kinds.withColumnRenamed("usr", "src"), "src", "left").filter(F.coalesce("method", F.lit(0)) == F.col("m")).select("src", "dst")
-    return edges
+    edges = seen.select(F.explode(F.array_compact(F.array(F.when(any_of("r.roles", OVERRIDE_OF), up), F.when(any_of("r.roles", BASE_OF), base)))).alias("e")).select("e.*").distinct()
+    kinds = ix.record_symbols.groupBy("usr").agg(F.max((F.col("kind") == "instanceMethod").cast("int")).alias("method"))
+    return edges.join(kinds.withColumnRenamed("usr", "src"), "src", "left").filter(F.coalesce("method", F.lit(0)) == F.col("m")).select("src", "dst")
 
 
 def base_hierarchy(ix: CodeIndex, usrs: Sequence[str], edges: DataFrame | None = None) -> DataFrame:
@@ -191,55 +199,67 @@ def each(found: DataFrame, receiver: Callable[[Row], bool]) -> bool:
     return all(receiver(row) is not False for row in found.toLocalIterator())
 
 
+def _classes(first: Row) -> list[str]:
+    """The receiver classes of a dynamic occurrence: a handful."""
+    wanted = RECEIVED_BY if first["roles"] & CALL else CHILD_OF
+    return sorted(r["usr"] for r in first["relations"] if r["roles"] & wanted) if first["roles"] & DYNAMIC else []
+
+
+def _kinds_of(ix: CodeIndex, usrs: Sequence[str]) -> dict[str, Row]:
+    """kind and callable of symbols that some record has."""
+    if not usrs:
+        return {}
+    found = ix.record_symbols.filter(F.col("usr").isin(list(usrs))).groupBy("usr").agg(F.min("kind").alias("kind"), F.max(is_callable("kind")).alias("callable"))
+    return {r["usr"]: r for r in found.collect()}
+
+
 def calls_of(ix: CodeIndex, callees: Sequence[str]) -> DataFrame:
-    """call_occurrences() of several symbols, with a column callee. Each is a plan of its own, for a handful; the edges that they follow are made once."""
-    out, bases, overrides = None, checkpoint(base_edges(ix)), checkpoint(related_edges(ix, OVERRIDE_OF))
-    for c in dict.fromkeys(callees):
-        found = call_occurrences(ix, c, bases=bases, overrides=overrides).withColumn("callee", F.lit(c))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    """call_occurrences() of several symbols, with a column callee. Each is a plan of its own, for a handful; their own occurrences, the kinds of them and their receivers and the edges that they follow are made once."""
+    callees = list(dict.fromkeys(callees))
+    if not callees:
         raise ValueError("no callee is given")
+    bases, overrides = checkpoint(base_edges(ix)), checkpoint(related_edges(ix, OVERRIDE_OF))
+    own = checkpoint(ix.occurrences.filter(F.col("usr").isin(callees)))
+    firsts = own.groupBy("usr").agg(F.min_by(F.struct("roles", "relations"), F.struct("record_name", "ord")).alias("f")).select("f.*").collect()
+    kinds = _kinds_of(ix, sorted({*callees, *(c for f in firsts for c in _classes(f))}))
+    out = None
+    for c in callees:
+        found = call_occurrences(ix, c, bases=bases, overrides=overrides, own=own, kinds=kinds).withColumn("callee", F.lit(c))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def call_occurrences(ix: CodeIndex, callee: str, record_name: str | None = None, bases: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+def call_occurrences(ix: CodeIndex, callee: str, record_name: str | None = None, bases: DataFrame | None = None, overrides: DataFrame | None = None, own: DataFrame | None = None, kinds: dict[str, Row] | None = None) -> DataFrame:
     """Calls of a callable symbol, with those that dispatch to it dynamically.
 
     The callee is the symbol at its first occurrence (in record_name, if given). Protocol methods are
     called through all that override them; other methods through their base methods, on receivers
-    that are classes of the callee, or on receivers that aren't known.
+    that are classes of the callee, or on receivers that aren't known. own (occurrences of the callee
+    at least) and kinds (of the callee and its receivers) are looked up if they aren't given.
     """
-    at = ix.occurrences.filter(F.col("usr") == callee)
-    if record_name is not None:
-        at = at.filter(F.col("record_name") == record_name)
-    kinds = ix.record_symbols.filter(F.col("usr") == callee).filter(is_callable("kind")).limit(1).count()
+    own = (ix.occurrences if own is None else own).filter(F.col("usr") == callee)
+    at = own if record_name is None else own.filter(F.col("record_name") == record_name)
     first = at.orderBy("record_name", "ord").limit(1).collect()
-    direct = occurrences_of(ix, callee, CALL)
-    if not kinds or not first:
+    direct = _looked_up(ix, own.filter(any_of("roles", CALL)))
+    classes = _classes(first[0]) if first else []
+    kinds = _kinds_of(ix, [callee, *classes]) if kinds is None else dict(kinds)
+    if callee not in kinds or not kinds[callee]["callable"] or not first:
         return direct.limit(0)
-    roles = first[0]["roles"]
-    if not roles & DYNAMIC:
-        return direct
-    wanted = RECEIVED_BY if roles & CALL else CHILD_OF
-    # A callee has a handful of receiver classes: those of one occurrence.
-    classes = sorted(r["usr"] for r in first[0]["relations"] if r["roles"] & wanted)
-
-    def kinds_of(usrs: list[str]) -> dict[str, str]:
-        return {r["usr"]: r["kind"] for r in ix.record_symbols.filter(F.col("usr").isin(usrs)).groupBy("usr").agg(F.min("kind").alias("kind")).collect()} if usrs else {}
-
-    of_kind = kinds_of(classes)
     for i, usr in enumerate(classes):
-        if of_kind.get(usr) == "extension":
+        if usr in kinds and kinds[usr]["kind"] == "extension":
             extended = occurrences_related_to(ix, [usr], EXTENDED_BY).select(F.min("usr")).first()[0]
             classes[i] = extended or usr
     if not classes:
         return direct
-    if kinds_of(classes[:1]).get(classes[0]) == "protocol":
-        return direct.unionByName(occurrences_of(ix, related_closure(ix, [callee], OVERRIDE_OF, overrides).select("usr"), CALL))
+    if classes[0] not in kinds:
+        kinds |= _kinds_of(ix, classes[:1])
+    if classes[0] in kinds and kinds[classes[0]]["kind"] == "protocol":
+        overriding = related_closure(ix, [callee], OVERRIDE_OF, overrides).select("usr")
+        return direct.unionByName(_looked_up(ix, keyed(ix.occurrences, "usr", overriding).filter(any_of("roles", CALL))))
     known = base_hierarchy(ix, classes, bases).select("usr").unionByName(ix.spark.createDataFrame([(c,) for c in classes], "usr string")).distinct()
-    calls = occurrences_of(ix, base_hierarchy(ix, [callee], bases).select("usr"), CALL).filter(any_of("roles", DYNAMIC))
-    calls = calls.withColumn("row", F.monotonically_increasing_id())
-    calls = checkpoint(calls)
+    based = base_hierarchy(ix, [callee], bases).select("usr")
+    calls = _looked_up(ix, keyed(ix.occurrences, "usr", based).filter(any_of("roles", CALL) & any_of("roles", DYNAMIC)))
+    calls = checkpoint(calls.withColumn("row", F.monotonically_increasing_id()))
     to = calls.select("row", F.explode(F.filter("relations", lambda r: any_of(r["roles"], RECEIVED_BY))).alias("r")).select("row", F.col("r.usr").alias("usr")).join(known, "usr", "left_semi").select("row").distinct()
     unknown = calls.filter(~any_of("roles", RECEIVED_BY))
     return direct.unionByName(unknown.unionByName(calls.filter(any_of("roles", RECEIVED_BY)).join(to, "row", "left_semi")).drop("row"))
