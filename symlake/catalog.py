@@ -310,7 +310,7 @@ _CHASE = f"chase as (select unit_name from m_units where out_file in {tuple(_OUT
 _EVER = "ever as (select distinct d.* from m_deps d where d.unit_name in (select unit_name from a union select unit_name from b))"
 _q("b1_units_imported", lambda ix: _imported(ix).current().units.select("unit_name", "mod_time_ns", "out_file", "main_file"), _POLL + "select a.unit_name, a.mod_time_ns, u.out_file, u.main_file from a join m_units u on u.unit_name = a.unit_name")
 _q("b3_dependencies_replaced", lambda ix: _imported(ix).current().unit_deps.select("unit_name", "ord", "kind", "name", "path"), _POLL + "select d.unit_name, d.ord, d.kind, d.name, d.path from m_deps d join a on a.unit_name = d.unit_name")
-_q("b4_records_once", lambda ix: _imported(ix).current().record_symbols.groupBy("record_name").agg(F.count("*").alias("n"), F.countDistinct("usr").alias("symbols")), _POLL + f", {_EVER} select r.record_name, count(*) as n, count(distinct r.usr) as symbols from m_recsym r where r.record_name in (select name from ever where kind = 'record') group by r.record_name")
+_q("b4_records_once", lambda ix: _imported(ix).current().record_symbols.select("record_name", "usr").repartition("record_name").groupBy("record_name").agg(F.count("*").alias("n"), F.countDistinct("usr").alias("symbols")), _POLL + f", {_EVER} select r.record_name, count(*) as n, count(distinct r.usr) as symbols from m_recsym r where r.record_name in (select name from ever where kind = 'record') group by r.record_name")
 _q("b8_names_stay", lambda ix: _imported(ix).current().symbol_names(), _POLL + f", {_EVER} select distinct name, usr from m_recsym where (roles & 3) <> 0 and name <> '' and not (language = 'swift' and kind = 'extension') and record_name in (select name from ever where kind = 'record')")
 _q("b9_files_stay", lambda ix: files.all_files(_imported(ix).current()), _POLL + f", {_EVER} select distinct path, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, regexp_extract(path, '[^/]*$') as file from ever where kind <> 'unit'")
 _q("b12_outputs_removed", lambda ix: _explicit(ix, True).units.select("unit_name"), _CHASE + " select unit_name from chase where unit_name <> 'unit-9'")

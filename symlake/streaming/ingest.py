@@ -47,7 +47,10 @@ def stale_units(stored: DataFrame, landing: DataFrame, ignore_mod_time: bool = F
     """landing rows to import: those whose time isn't exactly the stored one; all of them if times are ignored."""
     if ignore_mod_time:
         return landing
-    return landing.join(stored.select("unit_name", "mod_time_ns"), ["unit_name", "mod_time_ns"], "left_anti").select(*landing.columns)
+    # Equal times as two conditions: the rows, joined by unit before, aren't shuffled again by time too.
+    old = stored.select(F.col("unit_name").alias("old_name"), F.col("mod_time_ns").alias("old_time"))
+    same = (F.col("unit_name") == F.col("old_name")) & (F.col("mod_time_ns") <= F.col("old_time")) & (F.col("mod_time_ns") >= F.col("old_time"))
+    return landing.join(old, same, "left_anti")
 
 
 def record_symbols(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
